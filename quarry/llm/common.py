@@ -60,3 +60,10 @@ def running(df: DataFrame, group: list[str], bucket: str, order: list, value: Co
     over = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     base = df.groupBy(*keys).agg(F.sum(value).alias("_sum")).select(*keys, F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_base"))
     return df.join(base, keys).withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(each), F.lit(0))).drop("_base")
+
+
+def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of few rows, so that batches of very long texts stay small in Python workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, rows)
