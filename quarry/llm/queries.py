@@ -1,8 +1,9 @@
 """The opN_ queries of this package and, where SQL can express them, their DuckDB SQL."""
 
 from .fingerprints import op7_fingerprints
+from .html_text import op2_html_extraction
 from .mixing import op5_mixing
 from .secrets import op9_secrets
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op7_fingerprints, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op5_mixing, op7_fingerprints, op9_secrets)}
 ORACLE: dict[str, str] = {}
