@@ -62,8 +62,9 @@ def running(df: DataFrame, group: list[str], bucket: str, order: list, value: Co
     return df.join(base, keys).withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(each), F.lit(0))).drop("_base")
 
 
-def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that batches of very long texts stay small in Python workers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, rows)
+def lean_batches(spark: SparkSession, megabytes: int = 16) -> None:
+    """Arrow batches of a bounded number of bytes, so that very long texts or blocks stay small in Python workers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark.conf.get(key).rstrip("b")
+    if not found.isdigit() or int(found) > megabytes << 20:
+        spark.conf.set(key, str(megabytes << 20))

@@ -3,9 +3,10 @@
 from .fingerprints import op7_fingerprints
 from .html_text import op2_html_extraction
 from .mixing import op5_mixing
+from .neighbours import op1_nearest_neighbours
 from .packing import op8_packing
 from .secrets import op9_secrets
 from .token_files import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op5_mixing, op6_token_files, op7_fingerprints, op8_packing, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_html_extraction, op5_mixing, op6_token_files, op7_fingerprints, op8_packing, op9_secrets)}
 ORACLE: dict[str, str] = {}

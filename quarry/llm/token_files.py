@@ -184,7 +184,7 @@ def _read(spark: SparkSession, path: str, field: str, of) -> DataFrame:
     n = parts.count()
     base = running(parts, ["all"], "shard", ["part"], F.col("n_ids"), "base").select("shard", "part", "base")
     name = field.split()[0]
-    lean_batches(spark, 16)
+    lean_batches(spark)
 
     def rows(batches):
         for pdf in batches:
