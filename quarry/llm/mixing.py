@@ -109,5 +109,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     return given.select(*cols).unionByName(none.select(*cols))
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix as rows of docs: each as often as the mix takes it whole.
+
+    The mix takes a source's shuffled documents in whole passes and one part of a pass, so all but the one document of a
+    source at the end of that part are taken a whole number of times; that one is rounded. Documents without words stay
+    once. Rows that share an id and a size are taken alike.
+    """
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.greatest("size", F.lit(1)))).otherwise(F.lit(1)).cast("int")
+    taken = mix(docs, id_col, text, source, **options).groupBy("doc_id", "size").agg(F.max(times).alias("_times"))
+    taken = materialise(taken.filter("_times > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_times"), "times")
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumn("_words", size).join(small(taken, taken.count()), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    return rows.withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)
+
+
 def op5_mixing(spark, sf_dir):
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
