@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as X
+from quarry.operators import admin as A
 from quarry.operators import index
 from quarry.operators import tables as T
 from quarry.plans import search
@@ -571,3 +572,81 @@ def extraction_budget(read):
 def quarantine_fold(read):
     o = read("orders").select(F.col("o_custkey").cast("string").alias("key"), F.when(F.col("o_orderstatus") == "F", "quarantined").otherwise("extracted").alias("status"))
     return E.folded_quarantine(o.sparkSession.createDataFrame([], "key string, failures long"), o)
+
+
+# ---- Administration
+
+
+@query("SELECT r_name AS sidecar, CASE r_regionkey WHEN 0 THEN 'rebuild' WHEN 1 THEN 'migrate' WHEN 2 THEN 'keep' ELSE 'rebuild' END AS action, CASE r_regionkey WHEN 0 THEN 'missing' WHEN 1 THEN 'legacy-schema' WHEN 2 THEN NULL ELSE 'count-mismatch' END AS reason FROM region")
+def sidecar_plan(read):
+    k = F.col("r_regionkey")
+    rows = read("region").select(F.col("r_name").alias("sidecar"), F.when(k == 0, "missing").when(k == 1, "legacy").otherwise("current").alias("state"), F.lit(5).alias("keys"), F.when(k > 2, 6).otherwise(5).alias("expected_keys"))
+    return A.sidecar_plan(rows)
+
+
+@query("""WITH m AS (SELECT p_partkey AS path, p_size AS postings FROM part WHERE p_partkey % 5 <> 0), s AS (SELECT p_partkey AS path, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS postings FROM part WHERE p_partkey % 3 <> 0)
+SELECT CAST(coalesce(m.path, s.path) AS VARCHAR) AS path, CASE WHEN m.path IS NULL THEN 'ignore' WHEN s.path IS NULL OR m.postings <> s.postings THEN 'drop' ELSE 'keep' END AS action,
+ CASE WHEN m.path IS NULL THEN 'not-in-manifest' WHEN s.path IS NULL THEN 'missing' WHEN m.postings <> s.postings THEN 'count-mismatch' END AS reason FROM m FULL JOIN s ON m.path = s.path""")
+def manifest_recovery(read):
+    p = read("part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_partkey").alias("k"), F.col("p_size").alias("postings"))
+    segments = p.filter("k % 3 <> 0").withColumn("postings", F.when(F.col("k") % 7 == 0, F.col("postings") + 1).otherwise(F.col("postings"))).withColumn("state", F.lit("current"))
+    return A.manifest_recovery(p.filter("k % 5 <> 0").select("path", "postings"), segments)
+
+
+@query("""SELECT c_custkey, field, state, count(*) AS n FROM (SELECT c_custkey, 'c_name' AS field, 'same' AS state FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', CASE WHEN c_custkey % 4 = 0 THEN 'missing' ELSE 'same' END FROM customer
+ UNION ALL SELECT c_custkey, 'c_nationkey', CASE WHEN c_custkey % 3 = 0 THEN 'differs' ELSE 'same' END FROM customer) GROUP BY ALL""")
+def field_reconcile(read):
+    c = read("customer")
+    snapshot = c.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment"))).withColumn("c_nationkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")))
+    return A.reconciled(c, snapshot, "c_custkey", ("c_name", "c_mktsegment", "c_nationkey")).groupBy("c_custkey", "field", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH h AS (SELECT l_suppkey AS volume, CAST(sum(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) * 10000 // count(*) AS BIGINT) AS healthy_bps FROM lineitem GROUP BY ALL)
+SELECT volume, healthy_bps, CASE WHEN healthy_bps < 6600 THEN 'quarantine' ELSE 'ingest' END AS action, least(n, CASE WHEN healthy_bps < 6600 THEN n ELSE 100 END) AS n FROM h JOIN (SELECT l_suppkey AS volume, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL) USING (volume)""")
+def ingestion_plan(read):
+    rows = read("lineitem").select(F.col("l_suppkey").alias("volume"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("path"), "l_returnflag")
+    return A.ingestion_plan(rows, F.col("l_returnflag") == "R", 6600, 100).groupBy("volume", "healthy_bps", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT n_name AS path, CASE WHEN n_nationkey % 5 = 0 THEN 'removed' WHEN n_nationkey % 7 = 0 THEN 'added' WHEN n_nationkey % 3 = 0 THEN 'changed' END AS event, n_nationkey % 7 <> 0 OR n_nationkey % 5 = 0 AS invalidate_admission, n_nationkey % 5 <> 0 AS rescan
+FROM nation WHERE (n_nationkey % 5 = 0) <> (n_nationkey % 7 = 0) OR (n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0 AND n_nationkey % 3 = 0)""")
+def volume_changes(read):
+    n = read("nation").select(F.col("n_name").alias("path"), F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("region"))
+    before, after = n.filter("k % 7 <> 0"), n.filter("k % 5 <> 0").withColumn("region", F.when(F.col("k") % 3 == 0, F.lit(None)).otherwise(F.col("region")))
+    return A.volume_changes(before, after, ("region",)).drop("fields")
+
+
+@query("SELECT event_type, count(*) AS samples, CAST(sum(event_id) AS BIGINT) AS total, max(event_id) AS peak, CAST(sum(event_id) // count(*) AS BIGINT) AS average FROM events GROUP BY event_type")
+def resource_summary(read):
+    return A.resource_summary(read("events"), "event_type", "event_id")
+
+
+@query("SELECT s_suppkey, greatest(s_nationkey - s_suppkey % 10, 0) AS n FROM supplier")
+def counter_deltas(read):
+    s = read("supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("n"))
+    return A.counter_deltas(s.select("s_suppkey", (F.col("s_suppkey") % 10).alias("n")), s, "s_suppkey", ("n",))
+
+
+@query("""SELECT l_orderkey AS id, CASE arg_max(l_returnflag, k) WHEN 'R' THEN 'replay' WHEN 'A' THEN 'resume' ELSE 'retry' END AS action, count(*) FILTER (l_returnflag = 'R') AS started FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_partkey) AS k FROM lineitem) GROUP BY l_orderkey""")
+def operation_recovery(read):
+    status = F.when(F.col("l_returnflag") == "R", "started").when(F.col("l_returnflag") == "A", "paused").otherwise("failed")
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_partkey"))
+    return A.recovered_operations(read("lineitem").select(F.col("l_orderkey").alias("id"), status.alias("status"), seq.alias("seq")), True)
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderpriority[1:1] = '1' AND o_orderstatus = 'O' THEN 'cancelled' ELSE 'queued' END AS state FROM orders")
+def cancel_jobs(read):
+    return A.cancelled(jobs(read).withColumn("state", F.lit("queued")), **{"class": "interactive", "status": "O"}).select("id", "state")
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS n FROM {PARTS} WHERE NOT starts_with(path, '/Brand/13/') AND NOT starts_with(path, '/Brand/2/')")
+def search_scope(read):
+    return A.outside(parts(read), ["/Brand/13", "/Brand/2"]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH t AS {TOKENS}, d AS (SELECT doc_id FROM documents WHERE doc_id % 4 = 0 OR doc_id % 3 = 0) SELECT count(*) AS postings, CAST(0 AS BIGINT) + (SELECT count(*) FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0) AS tombstones FROM (SELECT DISTINCT term, doc_id FROM t WHERE doc_id IN (SELECT doc_id FROM d))""")
+def incremental_index(read):
+    r = read("documents").select(F.lit(1).cast("long").alias("volume"), F.col("doc_id").alias("node"), F.lit("file").alias("kind"), F.col("n_chars").alias("len"), F.lit(None).cast("timestamp").alias("modified"), F.lit(None).cast("timestamp").alias("changed"), F.lit(4).alias("version"))
+    current = r.withColumn("len", F.when(F.col("node") % 3 == 0, F.col("len") + 1).otherwise(F.col("len")))
+    postings, gone = A.incremental_segment(r.filter("node % 4 <> 0"), current, content(read), 2)
+    return postings.agg(F.count(F.lit(1)).alias("postings")).join(F.broadcast(gone.agg(F.count(F.lit(1)).alias("tombstones"))), F.lit(True))
