@@ -316,10 +316,12 @@ def ranked(columns: DataFrame, text: str, postings: DataFrame | None = None, lim
 def hot_and_deep(columns: DataFrame, text: str, postings: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """The hot batch (no content, no fuzzy names), and the deep batch: hits that are new or score higher than in it."""
     hot = ranked(columns, text, None, deep=False, **options)
+    shown = hot.collect()  # the first page, at most limit rows: it is out before the deep pass starts
+    before = {(r.volume, r.node): r.score for r in shown}
     deep = ranked(columns, text, postings, deep=True, **options)
-    before = hot.select(*ID, F.col("score").alias("_before"))
-    better = deep.join(before, ID, "left").filter(F.col("_before").isNull() | (F.col("score") > F.col("_before"))).drop("_before")
-    return hot, better.orderBy(F.desc("score"), F.lower("name"), "path", *ID)
+    better = [r for r in deep.collect() if r.score > before.get((r.volume, r.node), r.score - 1)]
+    spark = columns.sparkSession
+    return spark.createDataFrame(shown, hot.schema), spark.createDataFrame(better, deep.schema)
 
 
 def with_snippets(hits: DataFrame, content: DataFrame, text: str, context: int = 32) -> DataFrame:
