@@ -68,3 +68,10 @@ def lean_batches(spark: SparkSession, megabytes: int = 16) -> None:
     found = spark.conf.get(key).rstrip("b")
     if not found.isdigit() or int(found) > megabytes << 20:
         spark.conf.set(key, str(megabytes << 20))
+
+
+def hashed_share(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
+    """About most of df's counted rows (all, if fewer), by a hash of the key: every task sends its share, not its own most."""
+    if rows <= most:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.lit(11), key), F.lit(1_000_000)) < int(1_000_000 * most / rows) + 1)

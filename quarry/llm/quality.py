@@ -25,9 +25,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_batches, materialise, small
+from .common import hashed_share, lean_batches, materialise, small
 
-#: Labelled documents, least by hash, that the classifier is fitted on.
+#: Labelled documents, about so many by a hash of the id, that the classifier is fitted on.
 SAMPLE = 20_000
 #: Documents below this probability are rejected.
 KEEP = 0.5
@@ -118,7 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), *_site(host, path), seen(F.col(text)).alias("x")), "features")
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
     known = rows.join(marks, "doc_id").filter("x is not null").select("doc_id", "x", "label")
-    got = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
+    known = materialise(known, "known")
+    got = hashed_share(known, "doc_id", sample, known.count()).orderBy("doc_id", "x").toPandas()
     model = fit(np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES))), (got["label"].to_numpy() >= 0.5).astype(float))
 
     @F.pandas_udf("double")
