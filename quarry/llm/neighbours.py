@@ -2,10 +2,12 @@
 
 Codebooks of 16 centroids for each pair of dimensions are fitted on a bounded sample; their loss weighs the part of a
 residual that is parallel to its vector more than the rest, as that part is what changes large inner products. Every
-vector is coded, four bits a subspace. Each query builds tables of its products with the centroids and scans all codes
-by table look-up; the best by the tables are scored again on the original vectors, in double precision.
+vector is coded, four bits a subspace, and the norm of what its code leaves out is stored. A query's product with a code
+is off by at most the query's norm times that residual norm: every vector whose coded score and bound reach the query's
+k-th exact score so far is scored on the original, in double precision. So nothing is missed, at any size of the table
+and among near copies that share a code; the codes only save exact products.
 
-Queries and codes meet in blocks: a task holds one block of queries and streams blocks of codes past it, keeping the
+Queries and vectors meet in blocks: a task holds one block of queries and streams blocks of vectors past it, keeping the
 best of each query. Equal vectors are coded once and their least ids listed, so that many copies of one vector neither
 crowd out others nor fall to one task.
 
@@ -26,13 +28,15 @@ from .common import lean_batches, materialise
 
 #: Vectors, least by hash, that the codebooks are fitted on.
 SAMPLE = 8192
-#: Candidates of a query, by the tables, that are scored exactly.
+#: Best by code in a query's first block, scored first for a k-th score to start from; no limit on what is scored.
 RERANK = 256
 #: Parallel error below this cosine counts less; sets the weight of parallel residuals.
 THRESHOLD = 0.2
 SUB = 2
 CENTROIDS = 16
-CODE_BLOCK, QUERY_BLOCK, GROUP = 1 << 15, 512, 64
+#: Vectors (of up to WIDE components) in a block, queries in a block (16 times as many where queries are many), blocks in
+#: a group, and queries scored side by side.
+CODE_BLOCK, QUERY_BLOCK, GROUP, WIDE, LANES = 1 << 15, 512, 16, 64, 128
 
 
 def anisotropy(d: int, threshold: float = THRESHOLD) -> float:
@@ -99,18 +103,17 @@ def packed(codes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray((codes[:, ::2] | codes[:, 1::2] << 4).T)
 
 
-def tables(query: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """(m / 2, 256): the products of a query with the centroid pairs that a byte of codes stands for."""
-    one = np.einsum("ms,mcs->mc", _subspaces(query[None])[0], books).astype(np.float32)
-    return (one[1::2, :, None] + one[::2, None, :]).reshape(len(one) // 2, 256)
+def decoded(bytes_: np.ndarray, books: np.ndarray, d: int) -> np.ndarray:
+    """(n, d): the vectors that packed codes stand for; a query's products with them are its table scores."""
+    codes = np.empty((2 * len(bytes_), bytes_.shape[1]), np.uint8)
+    codes[::2], codes[1::2] = bytes_ & 15, bytes_ >> 4
+    return np.stack([book[c] for book, c in zip(books, codes, strict=True)], 1).reshape(bytes_.shape[1], -1)[:, :d]
 
 
-def scan(query: np.ndarray, books: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
-    """Scores of all coded vectors for a query, by table look-up."""
-    out = np.zeros(bytes_.shape[1], np.float32)
-    for table, column in zip(tables(query, books), bytes_, strict=True):
-        out += table[column]
-    return out
+def bounds(x: np.ndarray, coded: np.ndarray) -> np.ndarray:
+    """By how much, for a query of norm 1, a vector's product can exceed its code's; rounding included."""
+    rest, own = np.linalg.norm(x - coded, axis=1), np.linalg.norm(x, axis=1)
+    return rest + 1e-14 * x.shape[1] * (own + rest)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +126,42 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, summed from the first component on: the same to the last bit whatever else is in the block."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
+def meet(queries: np.ndarray, best: list, ids: np.ndarray, x: np.ndarray, coded: np.ndarray, bound: np.ndarray, k: int, start: int) -> int:
+    """Brings each query's (ids, scores) of the k best up to date with a block; the number of exact products by the bound."""
+    norms, longest, scored = np.linalg.norm(queries, axis=1), np.linalg.norm(x, axis=1).max(initial=0.0), 0
+    for a in range(0, len(queries), LANES):
+        q, qn = queries[a : a + LANES], norms[a : a + LANES]
+        close = 1e-14 * x.shape[1] * qn * longest  # how far matrix products are from sums in order
+        table = q @ coded.T
+        least = np.array([b[1][-1] if len(b[0]) >= k else -np.inf for b in best[a : a + LANES]])
+        for i in np.flatnonzero(np.isneginf(least)) if len(ids) >= max(k, start) else ():
+            first = np.argpartition(table[i], len(ids) - max(k, start))[-max(k, start) :]
+            least[i] = np.partition(x[first] @ q[i], len(first) - k)[len(first) - k] - close[i]
+        table += qn[:, None] * bound
+        reach = ~(table < least[:, None])
+        scored += int(reach.sum())
+        some = np.flatnonzero(reach.any(0))
+        near = np.where(reach[:, some], q @ x[some].T, -np.inf)
+        if len(some) > k:
+            least = np.fmax(least, np.partition(near, len(some) - k, axis=1)[:, len(some) - k] - close)
+        mine, at = np.nonzero(reach[:, some] & ~(near < (least - close)[:, None]))
+        at = some[at]
+        exact = _in_order(q[mine], x[at])
+        ends = np.searchsorted(mine, np.arange(len(q) + 1))
+        for i in np.flatnonzero(np.diff(ends)):
+            new, old = slice(ends[i], ends[i + 1]), best[a + i]
+            best[a + i] = _best(np.concatenate([old[0], ids[at[new]]]), np.concatenate([old[1], exact[new]]), k)
+    return scored
+
+
 def valid_vectors(table: DataFrame, id_col: str, vector: str) -> DataFrame:
     """vec_id and vector of the rows that take part."""
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
@@ -135,7 +174,7 @@ def valid_vectors(table: DataFrame, id_col: str, vector: str) -> DataFrame:
 def search(table: DataFrame, is_query, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """The k nearest other rows of each row for which is_query (a Column over vec_id): query_id, rank, vec_id, score.
 
-    The index is fitted on at most sample vectors and holds every row.
+    The codebooks are fitted on at most sample vectors; every row is coded, and the result is that of exact search.
     """
     spark = table.sparkSession
     lean_batches(spark)
@@ -150,54 +189,54 @@ def search(table: DataFrame, is_query, id_col: str = "vec_id", vector: str = "em
     x = np.stack(fitted.to_numpy()).astype(np.float64) if n else np.zeros((0, 2))
     eta = anisotropy(x.shape[1])
     books = fit(x, eta) if n else np.zeros((1, CENTROIDS, SUB))
-    n_blocks, n_parts = max(1, -(-n // CODE_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    d, number = x.shape[1], np.float32 if "float" in table.schema[vector].dataType.simpleString() else np.float64
+    n_blocks = max(1, -(-n // max(1, min(CODE_BLOCK, CODE_BLOCK * WIDE // d))))
+    n_parts = max(1, -(-n_queries // (QUERY_BLOCK * min(16, max(1, n_queries // (64 * QUERY_BLOCK))))))
     groups = -(-n_blocks // GROUP)
 
     def coded(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = packed(encode(np.stack(pdf["vector"].to_numpy()).astype(np.float64), books, eta))
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "codes": [block.tobytes()]})
+        x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+        codes = packed(encode(x, books, eta))
+        left = bounds(x, decoded(codes, books, d))
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "left": [left.tobytes()], "vectors": [x.astype(number).tobytes()]})
 
     def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "query_ids": [pdf["query_id"].to_numpy(np.int64).tobytes()], "queries": [np.stack(pdf["query"].to_numpy()).astype(np.float64).tobytes()]})
 
     blocks = reps.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(n_blocks)))
-    blocks = materialise(blocks.groupBy("block").applyInPandas(coded, "block long, ids binary, codes binary"), "codes")
+    blocks = materialise(blocks.groupBy("block").applyInPandas(coded, "block long, ids binary, codes binary, left binary, vectors binary"), "codes")
     parts = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_parts)))
     parts = materialise(parts.groupBy("part").applyInPandas(gathered, "part long, query_ids binary, queries binary"), "queries")
     met = blocks.withColumn("group", F.expr(f"block div {GROUP}L")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))))
     met = met.join(parts.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))), ["part", "group"])
 
     def scanned(batches):
-        at, best = None, {}
+        at, asked, best = None, (), []
 
         def done():
-            return pd.DataFrame({"query_id": list(best), "found": [[{"less": -float(s), "rep": int(i)} for i, s in zip(*b, strict=True)] for b in best.values()]})
+            return pd.DataFrame({"query_id": asked, "found": [[{"less": -float(s), "rep": int(i)} for i, s in zip(*b, strict=True)] for b in best]})
 
         for pdf in batches:
-            for part, group, ids, codes, query_ids, found in zip(pdf["part"], pdf["group"], pdf["ids"], pdf["codes"], pdf["query_ids"], pdf["queries"], strict=True):
+            for part, group, ids, codes, left, vectors, query_ids, found in zip(*(pdf[c] for c in ("part", "group", "ids", "codes", "left", "vectors", "query_ids", "queries")), strict=True):
                 if at != (part, group):
                     if best:
                         yield done()
-                    at, best = (part, group), {}
-                ids, query_ids = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
+                    at, asked = (part, group), np.frombuffer(query_ids, np.int64)
+                    best = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
+                ids = np.frombuffer(ids, np.int64)
                 bytes_ = np.frombuffer(codes, np.uint8).reshape(-1, len(ids))
-                for q, vec in zip(query_ids, np.frombuffer(found, np.float64).reshape(len(query_ids), -1), strict=True):
-                    mine = _best(ids, scan(vec, books, bytes_), rerank)
-                    if q in best:
-                        mine = _best(np.concatenate([best[q][0], mine[0]]), np.concatenate([best[q][1], mine[1]]), rerank)
-                    best[q] = mine
+                x = np.frombuffer(vectors, number).reshape(len(ids), d).astype(np.float64)
+                meet(np.frombuffer(found, np.float64).reshape(len(asked), d), best, ids, x, decoded(bytes_, books, d), np.frombuffer(left, np.float64), k + 1, rerank)
         if best:
             yield done()
 
     met = met.repartition("part", "group").sortWithinPartitions("part", "group") if groups * n_parts > 1 else met
-    near = met.select("part", "group", "ids", "codes", "query_ids", "queries").mapInPandas(scanned, "query_id long, found array<struct<less:float,rep:long>>")
-    near = near.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, rerank).alias("found"))
-    near = near.select("query_id", F.explode("found.rep").alias("rep"))
+    near = met.select("part", "group", "ids", "codes", "left", "vectors", "query_ids", "queries").mapInPandas(scanned, "query_id long, found array<struct<less:double,rep:long>>")
+    near = near.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
+    near = near.select("query_id", F.explode("found").alias("one")).select("query_id", F.col("one.rep").alias("rep"), (-F.col("one.less")).alias("score"))
 
-    exact = F.aggregate(F.zip_with("query", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    scored = near.join(reps, "rep").join(queries, "query_id").select("query_id", "rep", "ids", exact.alias("score"))
+    scored = near.join(reps.select("rep", "ids"), "rep")
     by_query = Window.partitionBy("query_id")
-    scored = scored.withColumn("nth", F.row_number().over(by_query.orderBy(F.desc("score"), "rep"))).filter(F.col("nth") <= k + 1)
     each = scored.withColumn("vec_id", F.explode("ids")).filter("vec_id <> query_id")
     return each.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -82,3 +82,30 @@ def test_parallel_errors_weigh_more():
         rest = x - np.stack([books[j][codes[:, j]] for j in range(8)], 1).reshape(2000, 16)
         lost[eta] = np.abs((rest * x).sum(1)).mean()
     assert lost[4.0] < 0.9 * lost[1.0]
+
+
+def test_whole_among_200k_rows_a_third_near_copies():
+    """The blocks as search() forms them, against brute force: near copies share codes, and true neighbours may come last."""
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(200_000, 64))
+    x[::3] = x[0] + 1e-3 * rnd.normal(size=(len(x[::3]), 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    asked = rnd.choice(len(x), 60, replace=False)
+    eta = nn.anisotropy(64)
+    books = nn.fit(x[rnd.choice(len(x), 4096, replace=False)], eta, rounds=2)
+    best = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
+    for a in range(0, len(x), nn.CODE_BLOCK):
+        block = x[a : a + nn.CODE_BLOCK]
+        coded = nn.decoded(nn.packed(nn.encode(block, books, eta, 1)), books, 64)
+        nn.meet(x[asked], best, np.arange(a, a + len(block)), block, coded, nn.bounds(block, coded), 21, nn.RERANK)
+    for q, (ids, scores) in zip(asked, best, strict=True):
+        want = nn._best(np.arange(len(x)), nn._in_order(np.broadcast_to(x[q], x.shape), x), 21)
+        assert ids.tolist() == want[0].tolist() and scores.tolist() == want[1].tolist()
+
+
+def test_more_near_copies_than_are_scored_first(spark):
+    rnd = np.random.default_rng(6)
+    centre = rnd.normal(size=16)
+    rows = [(i, (centre + 1e-3 * rnd.normal(size=16)).tolist()) for i in range(3000)] + [(i, rnd.normal(size=16).tolist()) for i in range(3000, 4000)]
+    got, want = result(nn.search(frame(spark, rows), F.col("vec_id") % 200 == 0)), brute(rows, step=200)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
