@@ -3,8 +3,8 @@
 The page becomes a tree (implied ends of p, li, td and the like; raw text of scripts and styles skipped). Subtrees that
 are page furniture by tag, role, class or id are cut. Each paragraph gives points for its length and commas to its
 parent, half to its grandparent and less further up; a container's points are discounted by the share of its text that
-is in links. The best container and those of its siblings that score or read like it are kept; their blocks of text are
-given in page order.
+is in links. The best container is kept with all that stands beside it and isn't mostly links, whatever its tag or length,
+and so level by level up to the article or main element it lies in; the blocks of text are given in page order.
 
 A null or empty page, and one without text, gives the empty string; pages of any length are read whole; broken and
 unclosed markup is read as browsers do; repeated rows are alike and an empty table gives no rows. Only the named columns
@@ -42,16 +42,18 @@ _PART = re.compile(r"[a-z]+|[0-9]+")
 _KEPT = frozenset("article content main body entry post story text".split())
 _POSITIVE = re.compile(r"article|body|content|entry|main|page|post|story|text|blog", re.I)
 _BASE = {"article": 10.0, "main": 8.0, "div": 5.0, "section": 3.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ol": -3.0, "ul": -3.0, "dl": -3.0, "li": -3.0, "dd": -3.0, "dt": -3.0, "address": -3.0, "h1": -5.0, "h2": -5.0, "h3": -5.0, "th": -5.0}
+#: A block beside the best container with this share of its text in links, or more, is left out.
+LINKS = 0.33
 #: Containers that may be chosen whole.
 _CONTAINER = frozenset("article main section div td body html blockquote center details".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "cut", "marks", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "items", "cut", "marks", "points", "chars", "linked", "stands_for")
 
     def __init__(self, tag, parent, marks="", cut=False):
         self.tag, self.parent, self.items, self.cut, self.marks = tag, parent, [], cut, marks
-        self.points, self.chars, self.linked = 0.0, 0, 0
+        self.points, self.chars, self.linked, self.stands_for = 0.0, 0, 0, None
 
 
 def _is_furniture(tag: str, attributes: str, open_tags: list) -> tuple[bool, str]:
@@ -207,7 +209,7 @@ def _density(node: Node) -> float:
 
 
 def main_nodes(root: Node) -> list[Node]:
-    """The best container and the siblings that go with it, in page order."""
+    """The best container with what goes with it, as one node."""
     order = _measure(root)
     for node in order:
         own = [x for x in node.items if isinstance(x, str) and not x.isspace()]
@@ -235,21 +237,40 @@ def main_nodes(root: Node) -> list[Node]:
             scored.append(((node.points + bonus) * (1.0 - _density(node)), node))
     if not scored:
         return [root]
-    top, best = max(scored, key=lambda s: s[0])
-    scores = {id(n): s for s, n in scored}
-    if best.parent is None:
-        return [best]
-    least = max(10.0, 0.2 * top)
-    kept = []
-    for x in best.parent.items:
-        if isinstance(x, str) or x.cut:
-            continue
-        if x is best or scores.get(id(x), 0.0) >= least:
-            kept.append(x)
-        elif x.tag == "p" and (x.chars > 80 and _density(x) < 0.25 or 0 < x.chars <= 80 and not x.linked and re.search(r"[.!?](\s|$)", "".join(_texts(x)))):
-            kept.append(x)
-        elif x.tag in ("h1", "h2") and x.chars and not x.linked:
-            kept.append(x)
+    best = max(scored, key=lambda s: s[0])[1]
+    rises = best.tag not in ("article", "main") and best.parent is not None and _inside(best.parent, ("article", "main"))
+    while best.parent is not None:
+        rises = rises and best.tag not in ("article", "main")
+        best = _with_siblings(best)
+        if not rises:
+            break
+    return [best]
+
+
+def _with_siblings(node: Node) -> Node:
+    """A copy of the parent: the node and what stands beside it, loose text with its inline tags as one block."""
+    up = node.parent
+    kept, run = Node(up.tag, up.parent, up.marks), []
+
+    def flush():
+        chars = sum((len(x) if not x.isspace() else 0) if isinstance(x, str) else x.chars for x in run if isinstance(x, str) or not x.cut)
+        if sum(x.linked for x in run if not isinstance(x, str) and not x.cut) < LINKS * chars or not chars:
+            kept.items.extend(run)
+        run.clear()
+
+    at = node.stands_for or node
+    for x in up.items:
+        if x is at or not isinstance(x, str) and x.tag in _BLOCK:
+            flush()
+            run.append(node if x is at else x)
+            if x is at:
+                kept.items.extend(run)
+                run.clear()
+            flush()
+        else:
+            run.append(x)
+    flush()
+    kept.stands_for = up
     return kept
 
 

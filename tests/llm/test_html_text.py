@@ -64,3 +64,22 @@ def test_plain_tables_against_regular_expressions(spark):
         inner = re.search("<article>(.*)</article>", r.html, re.S)[1]
         parts = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|br|h1)>", inner)]
         assert main_text(r.html) == "\n".join(p for p in parts if p)
+
+
+LONG, SHORT = "Many words, of the text, with commas, go here, " + "and more follow " * 22, "A shorter part, of the same text, " + "goes on " * 20
+
+
+def paragraphs(text, n):
+    return "".join(f"<p>{text.strip()}</p>" for _ in range(n))
+
+
+def test_all_parts_of_an_article_are_kept():
+    got = main_text(f"<body><article><h1>Title</h1><section>{paragraphs(LONG, 10)}</section><section>{paragraphs(SHORT, 2)}</section></article></body>")
+    assert got.split("\n") == ["Title"] + [LONG.strip()] * 10 + [SHORT.strip()] * 2
+    got = main_text(f"<body><article><div><div class=body>{paragraphs(LONG, 5)}</div><h4>Steps</h4></div><ul><li>one<li>two</ul><pre>x = 1</pre><table><tr><td>3</table>loose <b>text</b>.</article></body>")
+    assert got.split("\n") == [LONG.strip()] * 5 + ["Steps", "one", "two", "x = 1", "3", "loose text."]
+
+
+def test_lists_of_links_beside_the_text_are_not():
+    got = main_text(f"<body><div>{paragraphs(LONG, 5)}</div><ul><li><a href=/a>One page</a><li><a href=/b>Another page</a></ul><dl><dt>Term<dd>meaning</dl></body>")
+    assert got.split("\n") == [LONG.strip()] * 5 + ["Term", "meaning"]
