@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 The page becomes a tree (implied ends of p, li, td and the like; raw text of scripts and styles skipped). Subtrees that
-are page furniture by tag, role, class or id are cut. Each paragraph gives points for its length and commas to its
+are page furniture by tag, role, class or id are cut; where forms or such class words wrap the page's main text, they
+are opened. Each paragraph gives points for its length and commas to its
 parent, half to its grandparent and less further up; a container's points are discounted by the share of its text that
 is in links. The best container is kept with all that stands beside it and isn't mostly links, whatever its tag or length,
 and so level by level up to the article or main element it lies in; the blocks of text are given in page order.
@@ -42,6 +43,11 @@ _PART = re.compile(r"[a-z]+|[0-9]+")
 _KEPT = frozenset("article content main body entry post story text".split())
 _POSITIVE = re.compile(r"article|body|content|entry|main|page|post|story|text|blog", re.I)
 _BASE = {"article": 10.0, "main": 8.0, "div": 5.0, "section": 3.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ol": -3.0, "ul": -3.0, "dl": -3.0, "li": -3.0, "dd": -3.0, "dt": -3.0, "address": -3.0, "h1": -5.0, "h2": -5.0, "h3": -5.0, "th": -5.0}
+#: Class words that, named last, are cut whatever they hold, and first parts that only tell of such a part.
+_READERS = frozenset("comment comments commentlist disqus respond replies reply discussion".split())
+_TELLS = frozenset("has with no without show hide".split())
+#: Cut by class, id or form only; opened if it holds so many characters of text, and so many times those outside.
+SOFT, OPENED, TIMES = 2, 250, 4
 #: A block beside the best container with this share of its text in links, or more, is left out.
 LINKS = 0.33
 #: Containers that may be chosen whole.
@@ -56,9 +62,9 @@ class Node:
         self.points, self.chars, self.linked, self.stands_for = 0.0, 0, 0, None
 
 
-def _is_furniture(tag: str, attributes: str, open_tags: list) -> tuple[bool, str]:
+def _is_furniture(tag: str, attributes: str, open_tags: list) -> tuple[int, str]:
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return tag in _CUT, ""
+        return SOFT if tag == "form" else tag in _CUT, ""
     marks = ""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -66,14 +72,48 @@ def _is_furniture(tag: str, attributes: str, open_tags: list) -> tuple[bool, str
             return True, marks
         if name in ("class", "id"):
             marks += " " + value
-    if tag in _CUT:
+    if tag in _CUT and tag != "form":
         return True, marks
+    cut = SOFT if tag == "form" else False
     if marks and tag not in ("html", "body", "article", "main", "p", "a", "b", "i", "em", "strong", "h1"):
         for word in marks.split():
             parts = _PART.findall(word)
-            if any(p in _FURNITURE for p in parts) and not any(p in _KEPT for p in parts if p not in ("body", "text", "post", "content") or len(parts) == 1):
-                return True, marks
-    return False, marks
+            kept = any(p in _KEPT for p in parts if p not in ("body", "text", "post", "content") or len(parts) == 1)
+            if any(p in _FURNITURE for p in parts) and not (kept and (parts[-1] not in _FURNITURE or parts[-1] == "header")):
+                if parts[-1] in _READERS and parts[0] not in _TELLS:
+                    return True, marks
+                cut = SOFT
+    return cut, marks
+
+
+def _open(root: Node) -> None:
+    """Opens the softly cut subtree that holds the page's main text, if little of it lies outside such subtrees, and those around it."""
+    held, outside, articles = {}, 0, set()
+    stack: list = [(root, None)]
+    while stack:
+        node, soft = stack.pop()
+        if node.cut and node.cut != SOFT or node.tag == "a":
+            continue
+        if node.cut:
+            soft = node
+        elif node.tag in ("article", "main"):
+            articles.add(id(soft))
+        for x in node.items:
+            if not isinstance(x, str):
+                stack.append((x, soft))
+            elif len(x) >= 25 and len(x.strip()) >= 25:
+                if soft is None:
+                    outside += len(x)
+                else:
+                    size, _ = held.get(id(soft), (0, soft))
+                    held[id(soft)] = size + len(x), soft
+    weight = lambda h: TIMES if id(h[1]) in articles else 1
+    best = max(held.values(), key=lambda h: h[0] * weight(h), default=None)
+    if best and (best[0] >= OPENED or weight(best) > 1) and best[0] * weight(best) > TIMES * outside:
+        node = best[1]
+        while node is not None:
+            node.cut = False
+            node = node.parent
 
 
 def parse(page: str) -> Node:
@@ -124,6 +164,7 @@ def parse(page: str) -> Node:
                 node = up.parent
         elif m[0].startswith("<![CDATA["):
             node.items.append(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
+    _open(root)
     return root
 
 

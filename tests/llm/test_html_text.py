@@ -83,3 +83,17 @@ def test_all_parts_of_an_article_are_kept():
 def test_lists_of_links_beside_the_text_are_not():
     got = main_text(f"<body><div>{paragraphs(LONG, 5)}</div><ul><li><a href=/a>One page</a><li><a href=/b>Another page</a></ul><dl><dt>Term<dd>meaning</dl></body>")
     assert got.split("\n") == [LONG.strip()] * 5 + ["Term", "meaning"]
+
+
+@pytest.mark.parametrize("wrapper", ['div class="has-sidebar"', 'div class="content-with-sidebar"', 'div class="no-header"', 'div id="col-search"', "form id=aspnetForm", 'div class="no-comments"'])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_named_after_furniture(wrapper, inner):
+    aside = f'<div class="sidebar"><p>{SHORT}</p></div><div id="comments">{paragraphs(LONG, 9)}</div>'
+    got = main_text(f"<body><{wrapper}><div class='no-menu'><{inner}>{paragraphs(LONG, 3)}</{inner}></div>{aside}</{wrapper.split()[0]}></body>")
+    assert got.split("\n") == [LONG.strip()] * 3
+
+
+@pytest.mark.parametrize("mark", ["article-comments", "entry-footer", "main-menu", "story-related"])
+def test_furniture_inside_the_article(mark):
+    got = main_text(f'<article><header class="entry-header"><h2>Title</h2></header>{paragraphs(LONG, 3)}<div class="{mark}"><p>{SHORT}</p></div></article>')
+    assert got.split("\n") == ["Title"] + [LONG.strip()] * 3
