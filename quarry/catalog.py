@@ -316,6 +316,14 @@ def content_snippets(read):
     return rows.select("node", made["text"].isNotNull().alias("found"))
 
 
+@query()
+def content_snippets_whole(read):
+    """Text and highlights (in bytes) of every matching document; content_snippets compares the first 100 ids with SQL."""
+    rows = content(read).filter("contains(lower(text), ' that ')")
+    made = X.snippet(F.struct(F.col("text").alias("text"), F.array(F.lit("that")).alias("needles"), F.lit(16).alias("context")))
+    return rows.select("node", made.alias("made")).select("node", F.col("made.text").alias("snippet"), F.col("made.highlights").alias("highlights"))
+
+
 # ---- Views
 
 
