@@ -72,8 +72,8 @@ def literal_score(value: str) -> float:
     return (1.0 if classes >= 2 and bits >= 2.5 else 0.0) + (0.5 if len(value) >= 16 else 0.0) + (0.5 if bits >= 3.5 else 0.0)
 
 
-def _right(text: str, at: int, held: dict) -> list[tuple[int, int]]:
-    """The spans of the literals that the expression at this place is made of."""
+def _right(text: str, at: int, held: dict, own: list) -> list[tuple[int, int]]:
+    """The spans of the literals that the expression at this place is made of; own gets those that stand in it."""
     found: list[tuple[int, int]] = []
     while True:
         at = _BLANK.match(text, at).end()
@@ -81,9 +81,11 @@ def _right(text: str, at: int, held: dict) -> list[tuple[int, int]]:
             k = m.lastindex or 2
             inner = _REFERENCE.fullmatch(m[k].strip()) if "$" in m[k] else None
             found += held.get(inner[1], []) if inner else [m.span(k)]
+            own += [] if inner else [m.span(k)]
         elif (m := _REFERENCE.match(text, at)) and m[1].rpartition(".")[2] in held:
             found += held[m[1].rpartition(".")[2]]
         elif not found and (m := _BARE.match(text, at)):
+            own.append(m.span())
             return [m.span()]
         else:
             return found
@@ -93,27 +95,47 @@ def _right(text: str, at: int, held: dict) -> list[tuple[int, int]]:
         at += 1
 
 
+#: A name with its type, left of "=".
+_TYPED_LEFT = re.compile(r"([A-Za-z_][\w.]*)[\"'`]?\s*[?!]?\s*:\s*(?:&\s*)?(?:'\w+\s+)?(?:mut\s+|readonly\s+)?[A-Za-z_][\w.:]*(?:\[[\w., |\[\]]*\]|<[\w., |<>&']*>)?(?:\s*\|\s*[A-Za-z_][\w.]*)*\s*$")
+
+
 def pairs(text: str):
-    """Each assignment's name and the spans of the literals that reach it, in text order; names are followed."""
+    """Each assignment's name and the spans of the literals that reach it, in text order; names are followed, later ones too."""
     held: dict[str, list[tuple[int, int]]] = {}
+    while True:
+        known = len(held)
+        out = list(_pairs(text, held))
+        if len(held) == known:  # no name is new: a further pass would find nothing more
+            return out
+
+
+def _pairs(text: str, held: dict):
+    """One pass; held has the literals of names from the pass before and gets those of this one."""
+    seen: set[str] = set()
     end = 0
     for sign in _SIGN.finditer(text):
         at = sign.start()
         if at < end:  # inside a literal, or the second sign of := or ==
             continue
-        left = _NAME_LEFT.search(text, max(end, at - 160), at)
+        left = _TYPED_LEFT.search(text, max(end, at - 160), at) if text[at] == "=" else None
+        left = left or _NAME_LEFT.search(text, max(end, at - 160), at)
         if not left:
             continue
         begin = at + (2 if text[at : at + 2] in (":=", "=>") else 1)
         if text[at : at + 2] == "==" or text[at : at + 3] == "://":
             continue
-        literals = _right(text, begin, held)
+        name = left[1]
+        short = name.rpartition(".")[2]
+        before = held.pop(short, None) if short not in seen else None  # its own later value isn't part of it
+        own: list[tuple[int, int]] = []
+        literals = _right(text, begin, held, own)
         if literals:
-            name = left[1]
-            held[name.rpartition(".")[2]] = literals
+            held[short] = literals
+            seen.add(short)
             yield name, literals
-            here = [b for a, b in literals if a >= begin]
-            end = max(here, default=end)
+            end = max((b for _, b in own), default=end)
+        elif before is not None:
+            held[short] = before
 
 
 def secret_spans(text: str) -> list[tuple[int, int, str]]:

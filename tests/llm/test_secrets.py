@@ -64,3 +64,13 @@ def test_redacted_and_empty_tables(spark):
     got = {r.doc_id: r for r in secrets.redacted(spark.createDataFrame([(1, "k token=abcdefgh", 1, 99), (2, None, 1, 0), (3, "clean", 1, 5)], DOCS)).collect()}
     assert (got[1].text, got[1].n_chars, got[2].text, got[3].text) == ("k [SECRET]", 10, None, "clean")
     assert secrets.scan(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_typed_declarations_and_names_assigned_later():
+    from quarry.llm.secrets import secret_spans
+
+    value = "q7Zp2LmX9vTb4KsR8wYd"
+    for text in (f'api_token: str = "{value}"', f'const secretKey: string = "{value}"', f'let api_key: &str = "{value}";', f'api_token: Optional[str] = "{value}"', f'password = later\nlater = "{value}"', f'password = a\na = b\nb = "{value}"'):
+        at = text.index(value)
+        assert [(a, b) for a, b, kind in secret_spans(text) if kind == "literal"] == [(at, at + len(value))], text
+    assert secret_spans(f'colour: str = "{value}"') == []
