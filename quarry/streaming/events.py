@@ -125,16 +125,23 @@ def resume_plan(cursors) -> DataFrame:
     return cursors.select("stream", F.when(reason.isNull(), "continue").otherwise("rescan").alias("action"), reason.alias("reason"), F.when(reason.isNull(), F.col("last_event") + 1).alias("from_event"))
 
 
+def newest_version(spark, table_path: str, epoch: int) -> int | None:
+    """The newest version before this epoch, if any; an epoch without rows leaves none behind on some sources."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    names = [x.getPath().getName()[1:] for x in found]
+    return max((int(n) for n in names if n.isdigit() and int(n) < epoch), default=None)
+
+
 def maintain(stream: DataFrame, table_path: str, checkpoint: str):
     """A running query that keeps the latest kind of each path as a table, by merging each micro-batch into it."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.select("path", "kind", "seq")
-        try:
-            old = spark.read.parquet(f"{table_path}/v{epoch - 1}").select("path", "kind", "seq") if epoch else new.limit(0)
-        except Exception:  # an epoch without rows leaves no version behind on some sources
-            old = new.limit(0)
+        version = newest_version(spark, table_path, epoch)
+        # An error here fails the batch, which is then tried again: an old table that can't be read isn't an empty one.
+        old = new.limit(0) if version is None else spark.read.parquet(f"{table_path}/v{version}").select("path", "kind", "seq")
         latest_by_path(old.unionByName(new)).select("path", "kind", "seq").write.mode("overwrite").parquet(f"{table_path}/v{epoch}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
