@@ -17,6 +17,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,19 +67,20 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenize
     def rows(batches):
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.kind).tobytes()
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                all_ids = np.frombuffer(enc.ids(t) + end, enc.kind)
+            for i, found in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1).to_pylist()), strict=True):
+                all_ids = np.frombuffer(found + end, enc.kind)
                 cuts = [0, *range(len(all_ids) % size or size, len(all_ids) + 1, size)] if len(all_ids) > size else [0, len(all_ids)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     part = all_ids[a:b].astype("<u4")
-                    out.append((i, k, a, b - a, zlib.crc32(part.tobytes()), *([part.tolist()] if ids else [])))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])])
-            yield frame.astype({"doc_id": "Int64"}) if len(frame) else frame
+                    out.append((i, k, a, b - a, zlib.crc32(part.tobytes()), *([part] if ids else [])))
+            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
+    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.list_(pa.int64())} if ids else {})
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows_in.mapInPandas(rows, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ids)
+    return rows_in.mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
 def place(parts: DataFrame, size: int = SEQUENCE) -> DataFrame:
