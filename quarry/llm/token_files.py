@@ -15,7 +15,7 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,35 +38,60 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.maximum(1, np.ceil(np.log2(x.astype(np.float64) + 1))).astype(np.int64)
 
 
+def _packed(values: np.ndarray, w: int) -> np.ndarray:
+    """(rows, BLOCK) values below 2^w as (rows, w * BLOCK / 8) bytes: their bits one after another, the lowest first."""
+    # 64 values of a width of w fill w words of 64 bits.
+    by_place = np.ascontiguousarray(values.reshape(-1, 64).T, dtype=np.uint64)
+    words = np.zeros((w, by_place.shape[1]), np.uint64)
+    for i in range(64):
+        at, shift = divmod(i * w, 64)
+        words[at] |= by_place[i] << np.uint64(shift)
+        if shift + w > 64:
+            words[at + 1] |= by_place[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8", copy=False).view(np.uint8).reshape(len(values), -1)
+
+
+def _unpacked(packed: np.ndarray, w: int) -> np.ndarray:
+    """(rows, BLOCK): what _packed took."""
+    words = np.ascontiguousarray(np.ascontiguousarray(packed).view("<u8").reshape(-1, w).T)
+    out, mask = np.empty((64, words.shape[1]), np.uint32), np.uint64((1 << w) - 1)
+    for i in range(64):
+        at, shift = divmod(i * w, 64)
+        value = words[at] >> np.uint64(shift)
+        if shift + w > 64:
+            value |= words[at + 1] << np.uint64(64 - shift)
+        out[i] = value & mask
+    return out.T.reshape(len(packed), BLOCK)
+
+
 def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The blocks of an array of ids below 2^32, and the index: where each starts and the last ends."""
     n = len(ids)
     blocks = -(-n // BLOCK)
     if not blocks:
         return b"", np.zeros(1, "<u4")
-    full = np.concatenate([ids.astype(np.int64), np.full(blocks * BLOCK - n, ids[-1], np.int64)]).reshape(blocks, BLOCK)
+    full = np.full(blocks * BLOCK, ids[-1], np.uint32)
+    full[:n] = ids
+    full = full.reshape(blocks, BLOCK)
     low = full.min(axis=1)
     rest = full - low[:, None]
     k = int(PERCENTILE * (BLOCK - 1))
-    width = _bits(np.partition(rest, k, axis=1)[:, k])
+    width = _bits(np.partition(rest.astype(np.uint16) if rest.max() < 1 << 16 else rest, k, axis=1)[:, k])
     # An exception list counts its entries in a byte: at most a tenth of a block, so it always can.
-    over = rest >= (np.int64(1) << width)[:, None]
-    exceptions = over.sum(axis=1)
+    most = ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    row, place = np.nonzero(rest > most[:, None])
+    exceptions = np.bincount(row, minlength=blocks)
     size = _BLOCK_HEAD.itemsize + width * (BLOCK // 8) + exceptions * 5
     at = np.concatenate([[0], np.cumsum(size)])
     out = np.zeros(int(at[-1]), np.uint8)
     head = np.zeros(blocks, _BLOCK_HEAD)
     head["low"], head["width"], head["exceptions"] = low, width, exceptions
     out[at[:-1, None] + np.arange(_BLOCK_HEAD.itemsize)] = head.view(np.uint8).reshape(blocks, -1)
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
-        values = rest[rows].astype(np.uint16 if w <= 16 else np.uint32)
-        planes = np.empty((len(rows), BLOCK, w), np.uint8)
-        for b in range(w):
-            planes[:, :, b] = (values >> b) & 1
-        packed = np.packbits(planes.reshape(len(rows), -1), axis=1, bitorder="little")
-        out[(at[rows] + _BLOCK_HEAD.itemsize)[:, None] + np.arange(packed.shape[1])] = packed
-    row, place = np.nonzero(over)
+        packed = _packed(rest[rows] & np.uint32((1 << w) - 1), w)
+        for r, a in enumerate((at[rows] + _BLOCK_HEAD.itemsize).tolist()):
+            out[a : a + packed.shape[1]] = packed[r]
     if len(row):
         nth = np.arange(len(row)) - np.concatenate([[0], np.cumsum(exceptions)])[row]
         base = at[row] + _BLOCK_HEAD.itemsize + width[row] * (BLOCK // 8)
@@ -85,23 +110,21 @@ def unpack(data: bytes, index: np.ndarray, n: int, first: int = 0, last: int | N
         return np.zeros(0, np.uint32)
     head = raw[at[:-1, None] + np.arange(_BLOCK_HEAD.itemsize)].copy().view(_BLOCK_HEAD).reshape(-1)
     width, exceptions = head["width"].astype(np.int64), head["exceptions"].astype(np.int64)
-    rest = np.zeros((blocks, BLOCK), np.int64)
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        packed = raw[(at[rows] + _BLOCK_HEAD.itemsize)[:, None] + np.arange(w * BLOCK // 8)]
-        planes = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        total = np.zeros((len(rows), BLOCK), np.int64)
-        for b in range(w):
-            total |= planes[:, :, b].astype(np.int64) << b
-        rest[rows] = total
+    rest = np.empty((blocks, BLOCK), np.uint32)
+    for w in np.unique(width).tolist():
+        rows, size = np.flatnonzero(width == w), w * BLOCK // 8
+        packed = np.empty((len(rows), size), np.uint8)
+        for r, a in enumerate((at[rows] + _BLOCK_HEAD.itemsize).tolist()):
+            packed[r] = raw[a : a + size]
+        rest[rows] = _unpacked(packed, w)
     row = np.repeat(np.arange(blocks), exceptions)
     if len(row):
         nth = np.arange(len(row)) - np.concatenate([[0], np.cumsum(exceptions)])[row]
         base = at[row] + _BLOCK_HEAD.itemsize + width[row] * (BLOCK // 8)
         values = raw[(base + exceptions[row] + 4 * nth)[:, None] + np.arange(4)].copy().view("<u4").reshape(-1)
         rest[row, raw[base + nth]] = values
-    ids = (rest + head["low"][:, None]).reshape(-1)
-    return ids[: n - first * BLOCK].astype(np.uint32)
+    rest += head["low"][:, None]
+    return rest.reshape(-1)[: n - first * BLOCK]
 
 
 def segment(docs: list[tuple[int | None, bytes]], kind: np.dtype) -> bytes:
@@ -148,14 +171,13 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
         shard, part, held, waiting = TaskContext.get().partitionId(), 0, 0, []
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.kind).tobytes()
-        known = lambda i: None if i is None or i != i else int(i)
 
         def closed():
-            return pd.DataFrame({"shard": [shard], "part": [part], "n_docs": [len(waiting)], "n_ids": [held // enc.kind.itemsize], "payload": [segment(waiting, enc.kind)]})
+            return pa.RecordBatch.from_pydict({"shard": [shard], "part": [part], "n_docs": [len(waiting)], "n_ids": [held // enc.kind.itemsize], "payload": [segment(waiting, enc.kind)]})
 
-        for pdf in batches:
-            for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                waiting.append((known(i), enc.ids(t) + end))
+        for batch in batches:
+            for i, ids in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1).to_pylist()), strict=True):
+                waiting.append((i, ids + end))
                 held += len(waiting[-1][1])
                 if held >= segment_ids * enc.kind.itemsize:
                     yield closed()
@@ -163,9 +185,11 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
         if waiting:
             yield closed()
 
-    rows_in = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows_in.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInPandas(rows, "shard long, part long, n_docs long, n_ids long, payload binary").write.option("compression", "zstd").parquet(path)
+    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # Rows of one id (or none) are told apart by their text and place, so that many of them are no single task.
+    keyed = rows_in.withColumns({"_h": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange("doc_id", "_h", "_row").sortWithinPartitions("doc_id", "_h", "_row").select("doc_id", "text")
+    ordered.mapInArrow(rows, "shard long, part long, n_docs long, n_ids long, payload binary").write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -175,7 +199,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def read_crc(spark: SparkSession, path: str) -> DataFrame:
     """As read(), with ids_crc32 (of the ids as little-endian unsigned 32-bit integers) in place of the ids."""
-    return _read(spark, path, "ids_crc32 long", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
+    return _read(spark, path, "ids_crc32 long", lambda ids: zlib.crc32(ids.astype("<u4", copy=False).tobytes()))
 
 
 def _read(spark: SparkSession, path: str, field: str, of) -> DataFrame:
@@ -187,17 +211,17 @@ def _read(spark: SparkSession, path: str, field: str, of) -> DataFrame:
     lean_batches(spark)
 
     def rows(batches):
-        for pdf in batches:
-            for shard, part, data in zip(pdf["shard"], pdf["part"], pdf["payload"], strict=True):
-                seg = Segment(bytes(data))
+        for batch in batches:
+            for shard, part, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                seg = Segment(data)
                 ids, docs = seg.all_ids(), seg.docs
                 ends = docs["start"].astype(np.int64) + docs["n"]
-                yield pd.DataFrame({
-                    "shard": shard, "part": part, "doc_id": pd.array(docs["doc_id"].astype(np.int64), dtype="Int64").copy() if docs["known"].all() else pd.array([int(i) if k else None for i, k in zip(docs["doc_id"], docs["known"], strict=True)], dtype="Int64"),
-                    "at": docs["start"].astype(np.int64), "n_tokens": docs["n"].astype(np.int64), name: [of(ids[a:b]) for a, b in zip(docs["start"], ends, strict=True)],
+                yield pa.RecordBatch.from_pydict({
+                    "shard": np.full(len(docs), shard, np.int64), "part": np.full(len(docs), part, np.int64), "doc_id": pa.array(docs["doc_id"].astype(np.int64), mask=docs["known"] == 0),
+                    "at": docs["start"].astype(np.int64), "n_tokens": docs["n"].astype(np.int64), name: [of(ids[a:b]) for a, b in zip(docs["start"].tolist(), ends.tolist(), strict=True)],
                 })
 
-    found = files.select("shard", "part", "payload").mapInPandas(rows, f"shard long, part long, doc_id long, at long, n_tokens long, {field}")
+    found = files.select("shard", "part", "payload").mapInArrow(rows, f"shard long, part long, doc_id long, at long, n_tokens long, {field}")
     return found.join(small(base, n), ["shard", "part"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", name)
 
 
