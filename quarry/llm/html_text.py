@@ -30,12 +30,11 @@ _COMMA = re.compile("[,،、，]")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript textarea template iframe title noframes xmp".split())
-_BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul br".split())
+_BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _CUT = frozenset("head script style noscript template iframe title nav aside footer form button select option input textarea label fieldset svg canvas object embed applet audio video map dialog menu noframes xmp".split())
 _CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-_ENDS_P = _BLOCK - {"br", "body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend"}
-_IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
+_ENDS_P = _BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend"}
+_RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in _RAW}
 
 #: Words of class and id that mark page furniture; whole words of the attribute, or its first part for the second set.
 _FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side rail header masthead topbar footer foot bottombar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies reply discussion share sharing social related recommended recommendations toolbar pagination pager widget widgets skip copyright legal disclaimer tags paywall form search hidden".split())
@@ -55,11 +54,11 @@ _CONTAINER = frozenset("article main section div td body html blockquote center
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "cut", "marks", "points", "chars", "linked", "stands_for")
+    __slots__ = ("tag", "parent", "items", "cut", "marks", "points", "chars", "linked", "commas", "stands_for")
 
     def __init__(self, tag, parent, marks="", cut=False):
         self.tag, self.parent, self.items, self.cut, self.marks = tag, parent, [], cut, marks
-        self.points, self.chars, self.linked, self.stands_for = 0.0, 0, 0, None
+        self.points, self.chars, self.linked, self.commas, self.stands_for = 0.0, 0, 0, 0, None
 
 
 def _is_furniture(tag: str, attributes: str, open_tags: list) -> tuple[int, str]:
@@ -116,14 +115,74 @@ def _open(root: Node) -> None:
             node = node.parent
 
 
+#: Groups of elements that a start tag closes, up to the nearest element of their scope: (closed by, closes, scope).
+_GROUPS = (
+    (_ENDS_P, {"p"}, {"td", "th", "table", "button", "article", "section", "div", "li", "blockquote", "body", "main", "aside"}),
+    ({"li"}, {"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dt", "dd"}, {"dl"}), ({"tr"}, {"tr", "td", "th"}, {"table"}), ({"td", "th"}, {"td", "th"}, {"table", "tr"}), ({"option"}, {"option"}, {"select"}),
+)
+
+
+class _Open:
+    """The open elements. What a tag closes is looked up, not searched for, so broken markup costs no more than good."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.depths: dict[str, list[int]] = {}
+        self.blocks = [0]
+        #: By group: depths of its open elements, and -1 for an element of its scope.
+        self.groups: list[list[int]] = [[] for _ in _GROUPS]
+
+    def push(self, node: Node) -> None:
+        depth, tag = len(self.stack), node.tag
+        self.stack.append(node)
+        self.depths.setdefault(tag, []).append(depth)
+        if tag in _BLOCK:
+            self.blocks.append(depth)
+        for held, (_, closes, scope) in zip(self.groups, _GROUPS, strict=True):
+            if tag in closes:
+                held.append(depth)
+            elif tag in scope:
+                held.append(-1)
+
+    def cut_back(self, depth: int) -> None:
+        """Closes the elements from this depth on."""
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.depths[tag].pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
+            for held, (_, closes, scope) in zip(self.groups, _GROUPS, strict=True):
+                if tag in closes or tag in scope:
+                    held.pop()
+
+    def starts(self, tag: str) -> None:
+        """Closes what the start tag implies closed."""
+        for held, (by, _, _) in zip(self.groups, _GROUPS, strict=True):
+            if tag in by and held and held[-1] >= 0:
+                k = len(held) - 1
+                while k and held[k - 1] >= 0:
+                    k -= 1
+                self.cut_back(held[k])
+
+    def ends(self, tag: str) -> None:
+        """Closes the nearest open element of the tag; an inline end never closes a block."""
+        at = self.depths.get(tag)
+        if at and (tag in _BLOCK or at[-1] > self.blocks[-1]):
+            self.cut_back(at[-1])
+
+    def within(self, *tags: str) -> bool:
+        return any(self.depths.get(t) for t in tags)
+
+
 def parse(page: str) -> Node:
     """The page as a tree; items of a node are its children and pieces of text, in order."""
     root = Node("html", None)
-    at, node, n = 0, root, len(page)
+    at, n, opened = 0, len(page), _Open(root)
     find = _TOKEN.search
     while at < n:
         m = find(page, at)
         text = page[at : m.start()] if m else page[at:]
+        node = opened.stack[-1]
         if text:
             node.items.append(text)
         if not m:
@@ -132,36 +191,26 @@ def parse(page: str) -> Node:
         if m[2]:
             tag = m[2].lower()
             if tag in ("html", "body") and node is root:
-                cut, root.marks = False, ""
                 continue
-            if tag in _ENDS_P:
-                node = _close(node, "p", {"td", "th", "table", "button", "article", "section", "div", "li", "blockquote", "body", "main", "aside"})
-            if tag in _IMPLIED:
-                node = _close_any(node, _IMPLIED[tag], _SCOPE[tag])
+            opened.starts(tag)
+            node = opened.stack[-1]
             cut, marks = _is_furniture(tag, m[3], [])
-            if tag == "header" and not cut and not _inside(node, ("article", "main")):
+            if tag == "header" and not cut and not opened.within("article", "main"):
                 cut = True
             if tag in _RAW:
-                end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+                end = _RAW_END[tag].search(page, at)
                 at = page.find(">", end.start()) + 1 or n if end else n
                 continue
             child = Node(tag, node, marks, cut)
             node.items.append(child)
             if tag not in _VOID and not m[3].endswith("/"):
-                node = child
+                opened.push(child)
         elif m[1]:
             tag = m[1].lower()
-            if tag == "p" and not _inside(node, ("p",)):
+            if tag == "p" and not opened.within("p"):
                 node.items.append(Node("p", node))
-                continue
-            up = node
-            while up is not root and up.tag != tag:
-                if tag not in _BLOCK and up.tag in _BLOCK:  # an inline end never closes a block
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            else:
+                opened.ends(tag)
         elif m[0].startswith("<![CDATA["):
             node.items.append(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
     _open(root)
@@ -176,28 +225,14 @@ def _inside(node, tags) -> bool:
     return False
 
 
-def _close(node: Node, tag: str, scope: set) -> Node:
-    up = node
-    while up.parent is not None and up.tag not in scope:
-        if up.tag == tag:
-            return up.parent
-        up = up.parent
-    return node
-
-
-def _close_any(node: Node, tags: set, scope: set) -> Node:
-    up = node
-    while up.parent is not None and up.tag not in scope:
-        if up.tag in tags:
-            node = up.parent
-        up = up.parent
-    return node
-
-
 def blocks(root: Node) -> list[str]:
-    """Texts of the blocks below a node in page order, without its cut subtrees; references decoded, white space folded."""
+    """Texts of the blocks below a node in page order, without its cut subtrees; references decoded, white space folded.
+
+    A line break is white space in its block; two or more in a row end the block.
+    """
     out: list[str] = []
     now: list[str] = []
+    broken = False
 
     def flush():
         if now:
@@ -212,7 +247,13 @@ def blocks(root: Node) -> list[str]:
         if x is None:
             flush()
         elif isinstance(x, str):
+            broken = broken and x.isspace()
             now.append(x)
+        elif x.tag == "br":
+            if broken:
+                flush()
+            now.append(" ")
+            broken = True
         elif not x.cut:
             if x.tag in _BLOCK:
                 flush()
@@ -223,7 +264,7 @@ def blocks(root: Node) -> list[str]:
 
 
 def _measure(root: Node) -> list[Node]:
-    """Sets chars and linked (characters in links) of each kept node; nodes in page order."""
+    """Sets chars, linked (characters in links) and commas of each kept node; nodes in page order."""
     order, stack = [], [(root, False)]
     while stack:
         node, in_link = stack.pop()
@@ -234,7 +275,9 @@ def _measure(root: Node) -> list[Node]:
         own = 0
         for x in node.items:
             if isinstance(x, str):
-                own += len(x) if not x.isspace() else 0
+                if not x.isspace():
+                    own += len(x)
+                    node.commas += len(_COMMA.findall(x))
             else:
                 stack.append((x, in_link))
         node.chars, node.linked = own, own if in_link else 0
@@ -242,6 +285,7 @@ def _measure(root: Node) -> list[Node]:
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
+            node.parent.commas += node.commas
     return order
 
 
@@ -262,7 +306,7 @@ def main_nodes(root: Node) -> list[Node]:
             continue
         if not chars or node.tag not in ("h1", "h2", "h3") and chars < 25 and node.tag != "p":
             continue
-        commas = sum(len(_COMMA.findall(t)) for t in (text if text is not None else _texts(node)))
+        commas = node.commas if text is None else sum(len(_COMMA.findall(t)) for t in text)
         points = (1.0 if chars >= 25 else 0.2) + commas + min(chars / 100.0, 30.0)
         up, share = (node if text is not None else node.parent), 1.0
         level = 0
@@ -315,16 +359,6 @@ def _with_siblings(node: Node) -> Node:
     return kept
 
 
-def _texts(node: Node):
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            yield x
-        elif not x.cut:
-            stack.extend(reversed(x.items))
-
-
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -335,14 +369,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: s
     """One row a page: page_id, url, text, n_chars (code points)."""
     lean_batches(pages.sparkSession)
 
-    def rows(batches):
-        for pdf in batches:
-            texts = [main_text(x) for x in pdf.pop("html")]
-            yield pdf.assign(text=texts, n_chars=pd.Series([len(t) for t in texts], dtype="int64"))
+    @F.pandas_udf("string")
+    def text(pages: pd.Series) -> pd.Series:
+        return pages.map(main_text)
 
-    kind = lambda c: pages.schema[c].dataType.simpleString()
-    rows_in = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
-    return rows_in.mapInPandas(rows, f"page_id {kind(id_col)}, url {kind(url)}, text string, n_chars bigint")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), text(F.col(page)).alias("text"))
+    return rows.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op2_html_extraction(spark, sf_dir):

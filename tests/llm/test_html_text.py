@@ -35,8 +35,8 @@ def test_planted_articles_come_back_whole(wrapper, close):
 
 
 def test_blocks_references_and_white_space():
-    got = main_text("<article><h1> A&nbsp;&amp; B </h1><p>One\n  <b>bold</b>&#233;&#x41;<br>next &am &lt;p&gt;<ul><li>x<li>y</ul>tail<table><tr><td>1<td>2</table></article>")
-    assert got == "A & B\nOne boldéA\nnext &am <p>\nx\ny\ntail\n1\n2"
+    got = main_text("<article><h1> A&nbsp;&amp; B </h1><p>One\n  <b>bold</b>&#233;&#x41;<br><br> <br>next<br/>line &am &lt;p&gt;<ul><li>x<li>y</ul>tail<table><tr><td>1<td>2</table></article>")
+    assert got == "A & B\nOne boldéA\nnext line &am <p>\nx\ny\ntail\n1\n2"
 
 
 @pytest.mark.parametrize("text", [None, "", "   ", "<html><body></body></html>", "<div", "<p", "<script>never closed"])
@@ -97,3 +97,26 @@ def test_wrappers_named_after_furniture(wrapper, inner):
 def test_furniture_inside_the_article(mark):
     got = main_text(f'<article><header class="entry-header"><h2>Title</h2></header>{paragraphs(LONG, 3)}<div class="{mark}"><p>{SHORT}</p></div></article>')
     assert got.split("\n") == ["Title"] + [LONG.strip()] * 3
+
+
+@pytest.mark.parametrize("wrapper", ["no-sidebar", "content-sidebar-wrap", "layout-with-sidebar", "has-header", "page-wrap ad-free", "single comments-open", "tagged search-result", "search-page"])
+def test_wrappers_of_themes_keep_the_article(wrapper):
+    inner = "".join(f"<p>{LONG}</p>" for _ in range(4))
+    for body in (f"<article>{inner}</article>", f"<div>{inner}</div>"):
+        assert main_text(f'<body><div class="menu"><a href="/">Home</a></div><div class="{wrapper}">{body}</div></body>').count("Many words") == 4
+
+
+@pytest.mark.parametrize("broken", ["<b>{x}</i>", "<i><div>{x}</i>", "<b><h1>{x}", "<b><li>{x}", "<table><td><b>{x}</tr></p>", "<blockquote>{x}", "<p><b>{x}</div>", "<a><td>{x}<tr></u>"])
+def test_broken_markup_costs_no_more_than_good(broken):
+    import time
+
+    def seconds(n):
+        took = []
+        for page in ("".join(broken.format(x="w, ") for _ in range(n)), broken.partition("{x}")[0] * n + "words, " + broken.partition("{x}")[2] * n):
+            began = time.thread_time()
+            main_text(page)
+            took.append(time.thread_time() - began)
+        return max(took)
+
+    seconds(500)
+    assert seconds(32_000) < 16 * seconds(4000) + 0.2
