@@ -5,7 +5,7 @@ a bounded sample of labelled rows, gives each document's evidence as log odds. L
 where there is none, are summed by host and by path (grouped sums, so a host with a third of all rows is no single
 task). A host's rate is shrunk toward the global rate, a path's toward its host's; how much follows from the spread of
 the rates beyond chance (method of moments), so sparse sites follow their prior and large ones their own documents. The
-site's posterior, the document itself left out, is the prior of the document's evidence.
+site's posterior, the document itself left out (its label, if it was summed by that), is the prior of its evidence.
 
 Null and empty texts give no evidence: the site decides. Null hosts and paths are sites of their own. Repeated rows count
 each. Labels that are null are passed over, repeated ones averaged, and those of unknown documents unused; without labels
@@ -57,7 +57,10 @@ def logit(p: float) -> float:
 
 @dataclass(frozen=True)
 class Model:
-    """evidence = bias + weights * (features - mean) / scale, as log odds beyond the base rate; hosts and paths: strength of the priors."""
+    """evidence = bias + weights * (features - mean) / scale, as log odds beyond the labels' rate; hosts and paths: strength of the priors.
+
+    rate: of all documents; fit_rate: of the labels, at which documents without one are summed by site.
+    """
 
     mean: tuple
     scale: tuple
@@ -66,6 +69,7 @@ class Model:
     rate: float
     host_strength: float = 10.0
     path_strength: float = 10.0
+    fit_rate: float = 0.5
 
     def evidence(self, seen: list[float] | None) -> float:
         if seen is None or not self.weights:
@@ -76,7 +80,8 @@ class Model:
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> Model:
     """Ridge logistic regression by Newton steps; both classes are needed, else the model has no evidence to give."""
     if not len(y) or y.min() == y.max():
-        return Model((), (), (), 0.0, 0.5 if not len(y) else float(np.clip(y.mean(), 0.5, 0.99)))
+        rate = 0.5 if not len(y) else float(np.clip(y.mean(), 0.5, 0.99))
+        return Model((), (), (), 0.0, rate, fit_rate=rate)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = np.hstack([np.clip((x - mean) / scale, -50, 50), np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
@@ -89,7 +94,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> M
         if np.abs(step).max() < 1e-8:
             break
     rate = float(y.mean())
-    return Model(tuple(mean), tuple(scale), tuple(w[:-1]), float(w[-1]) - logit(rate), rate)
+    return Model(tuple(mean), tuple(scale), tuple(w[:-1]), float(w[-1]) - logit(rate), rate, fit_rate=rate)
 
 
 def _site(host: Column, path: Column) -> list[Column]:
@@ -107,6 +112,11 @@ def strength(groups: DataFrame, rate: Column) -> float:
     return float(min(1000.0, max(1.0, within / excess - 1))) if excess > 1e-9 else 1000.0
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id and label, the mean of its labels."""
+    return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
+
+
 def train(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[Model, DataFrame]:
     """The model, and the stored table of sites: host, path, host_n, host_s, n, s."""
     lean_batches(docs.sparkSession)
@@ -116,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
         return texts.map(features)
 
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), *_site(host, path), seen(F.col(text)).alias("x")), "features")
-    marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
+    marks = labelled(labels)
     known = rows.join(marks, "doc_id").filter("x is not null").select("doc_id", "x", "label")
     known = materialise(known, "known")
     got = hashed_share(known, "doc_id", sample, known.count()).orderBy("doc_id", "x").toPandas()
@@ -124,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
 
     @F.pandas_udf("double")
     def probability(x: pd.Series) -> pd.Series:
-        return x.map(lambda f: 1 / (1 + math.exp(-(model.evidence(None if f is None else list(f)) + logit(model.rate)))))
+        return x.map(lambda f: 1 / (1 + math.exp(-(model.evidence(None if f is None else list(f)) + logit(model.fit_rate)))))
 
     judged = rows.join(marks, "doc_id", "left").withColumn("p", F.coalesce("label", probability("x")))
     paths = materialise(judged.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s")), "paths")
@@ -134,11 +144,14 @@ def train(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
     rate = float(min(max((total[1] or 0) / (total[0] or 1), 0.01), 0.99)) if total[0] else model.rate
     by_host = strength(hosts.select(F.col("host_n").alias("n"), F.col("host_s").alias("s")), F.lit(rate))
     shrunk = (F.col("host_s") + by_host * rate) / (F.col("host_n") + by_host)
-    return Model(model.mean, model.scale, model.weights, model.bias, rate if model.weights else model.rate, by_host, strength(sites, shrunk)), sites
+    return Model(model.mean, model.scale, model.weights, model.bias, rate if model.weights else model.rate, by_host, strength(sites, shrunk), model.fit_rate), sites
+
 
+def score(docs: DataFrame, model: Model, sites: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text: str = "text", keep: float = KEEP, labels: DataFrame | None = None) -> DataFrame:
+    """docs with host, path, p_document (the text alone at the global rate), p_site, p_quality and keep.
 
-def score(docs: DataFrame, model: Model, sites: DataFrame, host: Column, path: Column, text: str = "text", keep: float = KEEP) -> DataFrame:
-    """docs with host, path, p_document (the text alone at the global rate), p_site, p_quality and keep."""
+    labels: those that the sites were summed with, so that a labelled document leaves its label out of its own prior.
+    """
 
     @F.pandas_udf("double")
     def evidence(texts: pd.Series) -> pd.Series:
@@ -150,21 +163,27 @@ def score(docs: DataFrame, model: Model, sites: DataFrame, host: Column, path: C
     odds = lambda p: F.ln(p / (1 - p))
     prob = lambda x: 1 / (1 + F.exp(-x))
     rows = rows.withColumn("p_document", prob(F.col("_evidence") + logit(model.rate)))
-    others = lambda n, s: (F.greatest(F.coalesce(n, F.lit(0)) - 1, F.lit(0)), F.greatest(F.least(F.coalesce(s, F.lit(0.0)) - F.col("p_document"), F.coalesce(n, F.lit(0)) - 1), F.lit(0.0)))
+    given = prob(F.col("_evidence") + logit(model.fit_rate))  # what the document gave its site
+    if labels is not None:
+        marks = materialise(labelled(labels).select(F.col("doc_id").alias("_labelled_id"), F.col("label").alias("_labelled")), "labels")
+        rows = rows.join(small(marks, marks.count()), F.col(id_col) == F.col("_labelled_id"), "left")
+        given = F.coalesce("_labelled", given)
+    others = lambda n, s: (F.greatest(F.coalesce(n, F.lit(0)) - 1, F.lit(0)), F.greatest(F.least(F.coalesce(s, F.lit(0.0)) - given, F.coalesce(n, F.lit(0)) - 1), F.lit(0.0)))
     n, s = others(F.col("_host_n"), F.col("_host_s"))
     of_host = (s + model.host_strength * model.rate) / (n + model.host_strength)
     n, s = others(F.col("_n"), F.col("_s"))
     of_path = (s + model.path_strength * of_host) / (n + model.path_strength)
     rows = rows.withColumn("p_site", F.greatest(F.least(of_path, F.lit(1 - 1e-6)), F.lit(1e-6)))
     rows = rows.withColumn("p_quality", prob(F.col("_evidence") + odds(F.col("p_site"))))
-    return rows.withColumn("keep", F.col("p_quality") >= keep).drop("_evidence", *key.columns)
+    return rows.withColumn("keep", F.col("p_quality") >= keep).drop("_evidence", "_labelled_id", "_labelled", *key.columns)
 
 
 def _documents(spark, docs, sf_dir):
     """Scored documents of the tables here: the host is the source, the path the language section of it."""
     host, path = F.col("source"), F.concat_ws("/", "source", "lang")
-    model, sites = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), host, path)
-    return score(docs, model, sites, host, path)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model, sites = train(docs, labels, host, path)
+    return score(docs, model, sites, host, path, labels=labels)
 
 
 def op3_quality(spark, sf_dir):

@@ -48,3 +48,52 @@ def test_features_do_not_grow_with_the_text():
     x = np.random.default_rng(0).normal(size=(500, 10))
     model = quality.fit(x, (x[:, 0] > 0).astype(float))
     assert model.evidence([3.0] + [0.0] * 9) > 2 > -2 > model.evidence([-3.0] + [0.0] * 9)
+
+
+def test_posteriors_against_brute_force(spark):
+    """Sums by site, strengths, the document left out and the posterior, once more in plain Python."""
+    import math
+    from collections import defaultdict
+
+    words = ["plain", "words,", "here.", "and!", "more", "|", "#tag", "12", "the", "the"]
+    rows = [(2**53 + i, " ".join(words[(i * 7 + j * (1 + i % 4)) % len(words)] for j in range(i % 37)), f"h{i % 5 if i % 7 else None}", f"l{i % 3}", 1, 0.5, 1) for i in range(300)]
+    rows += [(None, "plain words", None, "x", 1, 0.5, 1), rows[3], rows[4]]
+    labels = [(2**53 + i, int(i % 37 > 12), 0) for i in range(0, 300, 3)] + [(2**53 + 6, 1, 0)]
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    host, path = F.col("source"), F.concat_ws("/", "source", "lang")
+    model, sites = quality.train(docs, marks, host, path)
+    by_id = defaultdict(list)
+    for i, q, _ in labels:
+        by_id[i].append(q)
+    label = {i: sum(q) / len(q) for i, q in by_id.items()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    evidence = [model.evidence(quality.features(t)) for _, t, *_ in rows]
+    gave = [label.get(i, sigmoid(e + quality.logit(model.fit_rate))) for (i, *_), e in zip(rows, evidence, strict=True)]
+    key = [(s, "/".join(x for x in (s, lang) if x is not None)) for _, _, s, lang, *_ in rows]
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for (h, p), g in zip(key, gave, strict=True):
+        hosts[h].append(g)
+        paths[h, p].append(g)
+    rate = sum(gave) / len(gave)
+    assert model.rate == pytest.approx(rate)
+
+    def strength(groups):
+        groups = [(len(g), sum(g), r) for g, r in groups if len(g) >= 2]
+        n = sum(k for k, *_ in groups)
+        excess = (sum(k * (s / k - r) ** 2 for k, s, r in groups) - sum(r * (1 - r) for *_, r in groups)) / max(1, n)
+        within = sum(r * (1 - r) * k for k, _, r in groups) / max(1, n)
+        return min(1000.0, max(1.0, within / excess - 1)) if excess > 1e-9 else 1000.0
+
+    a = strength([(g, rate) for g in hosts.values()])
+    b = strength([(g, (sum(hosts[h]) + a * rate) / (len(hosts[h]) + a)) for (h, _), g in paths.items()])
+    assert (model.host_strength, model.path_strength) == (pytest.approx(a), pytest.approx(b))
+    want = []
+    for (h, p), e, g, (i, *_) in zip(key, evidence, gave, rows, strict=True):
+        rest = lambda x, g=g: (len(x) - 1, max(0.0, min(sum(x) - g, len(x) - 1)))
+        n, s = rest(hosts[h])
+        of_host = (s + a * rate) / (n + a)
+        n, s = rest(paths[h, p])
+        site = min(max((s + b * of_host) / (n + b), 1e-6), 1 - 1e-6)
+        want.append((i or 0, round(site, 6), round(sigmoid(e + math.log(site / (1 - site))), 6)))
+    got = [(r.doc_id or 0, round(r.p_site, 6), round(r.p_quality, 6)) for r in quality.score(docs, model, sites, host, path, labels=marks).collect()]
+    assert np.allclose(sorted(got), sorted(want), atol=3e-6)
