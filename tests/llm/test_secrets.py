@@ -74,3 +74,39 @@ def test_typed_declarations_and_names_assigned_later():
         at = text.index(value)
         assert [(a, b) for a, b, kind in secret_spans(text) if kind == "literal"] == [(at, at + len(value))], text
     assert secret_spans(f'colour: str = "{value}"') == []
+
+
+VALUE = "Zx9!kLmn-22pq"
+
+
+@pytest.mark.parametrize("text", [
+    f'db_password{" " * 40}= "{VALUE}"', f'{"long_" * 60}password = "{VALUE}"', f"export DB_PASS={VALUE}", f'<add key="Password" value="{VALUE}"/>', f"<property name='db.password' type='s' value='{VALUE}' />",
+    f"<password> {VALUE} </password>", f"password: |\n  {VALUE}\n  qR8-more\nother: 1", f'pw = "{VALUE}"\nlogin(user, pw)', f'def login(user, password):\n  pass\nx = "{VALUE}"\nlogin("me, too", x)', f'function open(String host, String secret) {{}}\nopen("h", "{VALUE}")',
+    f'const secretKey: Map<{"string, " * 60}number> = "{VALUE}"',
+])
+def test_further_forms(text):
+    at = text.index(VALUE)
+    assert any(a <= at and b >= at + len(VALUE) for a, b, _ in secret_spans(text)), text
+
+
+@pytest.mark.parametrize("text", [f'<add key="Colour" value="{VALUE}"/>', f"<title>{VALUE}</title>", f"notes: |\n  {VALUE}\n", f'def paint(colour):\n  ...\npaint("{VALUE}")', f'password: |\ncolour: "{VALUE}"'])
+def test_further_forms_of_clean_texts(text):
+    assert secret_spans(text) == []
+
+
+@pytest.mark.parametrize("unit", ['a_token = "abcdefgh1234" ', "k: v = ", "x" * 40, '"', "password: |\n", "<a>b", "f(", 'key="a" value="b', "a=b\n", "=" * 8])
+def test_time_follows_the_length(unit):
+    import time
+
+    def seconds(n):
+        began = time.thread_time()
+        secret_spans(unit * n + "= :")
+        return time.thread_time() - began
+
+    seconds(100)
+    assert seconds(24_000) < 16 * seconds(3000) + 0.3
+
+
+def test_ids_are_exact_beside_nulls(spark):
+    rows = [(2**53 + 1, "a token=abcdefgh", 1, 0), (None, "x", 1, 0), (2**53 + 3, None, 1, 0)]
+    assert sorted(str(r.doc_id) for r in secrets.scan(spark.createDataFrame(rows, DOCS)).collect()) == sorted(str(r[0]) for r in rows)
