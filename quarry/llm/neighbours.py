@@ -11,8 +11,8 @@ Queries and vectors meet in blocks: a task holds one block of queries and stream
 best of each query. Equal vectors are coded once and their least ids listed, so that many copies of one vector neither
 crowd out others nor fall to one task.
 
-Vectors that are null, zero, of another length than the first valid vector by hash, or that hold null or non-finite
-components take no part. Ties go to smaller ids; a repeated row is one candidate; fewer candidates than asked for are
+Vectors that are null, zero, or that hold null or non-finite components take no part. Vectors of different lengths have
+no product: each length has its own codebooks and is searched alone. Ties go to smaller ids; a repeated row is one candidate; fewer candidates than asked for are
 all returned; an empty table gives no rows. Only the named columns are read, so further columns cannot clash.
 """
 
@@ -166,9 +166,15 @@ def valid_vectors(table: DataFrame, id_col: str, vector: str) -> DataFrame:
     """vec_id and vector of the rows that take part."""
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0))
-    first = rows.agg(F.min_by(F.size("vector"), F.struct(F.xxhash64("vec_id"), "vec_id")).alias("d")).first()
-    return rows.filter(F.size("vector") == (first.d or 0))
+    return rows.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0))
+
+
+def fit_lengths(vectors) -> dict[int, np.ndarray]:
+    """Codebooks by vector length, from a sample; lengths of few samples have none, and their vectors are scored exactly."""
+    by_length: dict[int, list] = {}
+    for v in vectors:
+        by_length.setdefault(len(v), []).append(v)
+    return {d: fit(np.stack(some).astype(np.float64)) for d, some in sorted(by_length.items()) if len(some) >= CENTROIDS}
 
 
 def search(table: DataFrame, is_query, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
@@ -186,29 +192,30 @@ def search(table: DataFrame, is_query, id_col: str = "vec_id", vector: str = "em
     queries = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
     n, n_queries = reps.count(), queries.count()
     fitted = reps.select("vector").orderBy(F.xxhash64("rep"), "rep").limit(sample).toPandas()["vector"]
-    x = np.stack(fitted.to_numpy()).astype(np.float64) if n else np.zeros((0, 2))
-    eta = anisotropy(x.shape[1])
-    books = fit(x, eta) if n else np.zeros((1, CENTROIDS, SUB))
-    d, number = x.shape[1], np.float32 if "float" in table.schema[vector].dataType.simpleString() else np.float64
-    n_blocks = max(1, -(-n // max(1, min(CODE_BLOCK, CODE_BLOCK * WIDE // d))))
+    books = fit_lengths(fitted)
+    widest = max(map(len, fitted), default=1)
+    number = np.float32 if "float" in table.schema[vector].dataType.simpleString() else np.float64
+    n_blocks = max(1, -(-n // max(1, min(CODE_BLOCK, CODE_BLOCK * WIDE // widest))))
     n_parts = max(1, -(-n_queries // (QUERY_BLOCK * min(16, max(1, n_queries // (64 * QUERY_BLOCK))))))
     groups = -(-n_blocks // GROUP)
 
     def coded(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-        codes = packed(encode(x, books, eta))
-        left = bounds(x, decoded(codes, books, d))
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "left": [left.tobytes()], "vectors": [x.astype(number).tobytes()]})
+        d = x.shape[1]
+        own = books.get(d)
+        codes = packed(encode(x, own, anisotropy(d))) if own is not None else np.zeros((0, len(x)), np.uint8)
+        left = bounds(x, decoded(codes, own, d) if own is not None else np.zeros_like(x))
+        return pd.DataFrame({"d": [d], "block": pdf["block"].iloc[:1], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "left": [left.tobytes()], "vectors": [x.astype(number).tobytes()]})
 
     def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "query_ids": [pdf["query_id"].to_numpy(np.int64).tobytes()], "queries": [np.stack(pdf["query"].to_numpy()).astype(np.float64).tobytes()]})
+        return pd.DataFrame({"d": [len(pdf["query"].iloc[0])], "part": pdf["part"].iloc[:1], "query_ids": [pdf["query_id"].to_numpy(np.int64).tobytes()], "queries": [np.stack(pdf["query"].to_numpy()).astype(np.float64).tobytes()]})
 
     blocks = reps.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(n_blocks)))
-    blocks = materialise(blocks.groupBy("block").applyInPandas(coded, "block long, ids binary, codes binary, left binary, vectors binary"), "codes")
+    blocks = materialise(blocks.groupBy(F.size("vector").alias("d"), "block").applyInPandas(coded, "d int, block long, ids binary, codes binary, left binary, vectors binary"), "codes")
     parts = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_parts)))
-    parts = materialise(parts.groupBy("part").applyInPandas(gathered, "part long, query_ids binary, queries binary"), "queries")
+    parts = materialise(parts.groupBy(F.size("query").alias("d"), "part").applyInPandas(gathered, "d int, part long, query_ids binary, queries binary"), "queries")
     met = blocks.withColumn("group", F.expr(f"block div {GROUP}L")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))))
-    met = met.join(parts.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))), ["part", "group"])
+    met = met.join(parts.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))), ["d", "part", "group"])
 
     def scanned(batches):
         at, asked, best = None, (), []
@@ -217,21 +224,21 @@ def search(table: DataFrame, is_query, id_col: str = "vec_id", vector: str = "em
             return pd.DataFrame({"query_id": asked, "found": [[{"less": -float(s), "rep": int(i)} for i, s in zip(*b, strict=True)] for b in best]})
 
         for pdf in batches:
-            for part, group, ids, codes, left, vectors, query_ids, found in zip(*(pdf[c] for c in ("part", "group", "ids", "codes", "left", "vectors", "query_ids", "queries")), strict=True):
-                if at != (part, group):
+            for d, part, group, ids, codes, left, vectors, query_ids, found in zip(*(pdf[c] for c in ("d", "part", "group", "ids", "codes", "left", "vectors", "query_ids", "queries")), strict=True):
+                if at != (d, part, group):
                     if best:
                         yield done()
-                    at, asked = (part, group), np.frombuffer(query_ids, np.int64)
+                    at, asked = (d, part, group), np.frombuffer(query_ids, np.int64)
                     best = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
                 ids = np.frombuffer(ids, np.int64)
-                bytes_ = np.frombuffer(codes, np.uint8).reshape(-1, len(ids))
                 x = np.frombuffer(vectors, number).reshape(len(ids), d).astype(np.float64)
-                meet(np.frombuffer(found, np.float64).reshape(len(asked), d), best, ids, x, decoded(bytes_, books, d), np.frombuffer(left, np.float64), k + 1, rerank)
+                coded_ = decoded(np.frombuffer(codes, np.uint8).reshape(-1, len(ids)), books[d], d) if d in books else np.zeros_like(x)
+                meet(np.frombuffer(found, np.float64).reshape(len(asked), d), best, ids, x, coded_, np.frombuffer(left, np.float64), k + 1, rerank)
         if best:
             yield done()
 
-    met = met.repartition("part", "group").sortWithinPartitions("part", "group") if groups * n_parts > 1 else met
-    near = met.select("part", "group", "ids", "codes", "left", "vectors", "query_ids", "queries").mapInPandas(scanned, "query_id long, found array<struct<less:double,rep:long>>")
+    met = met.repartition("d", "part", "group").sortWithinPartitions("d", "part", "group")
+    near = met.select("d", "part", "group", "ids", "codes", "left", "vectors", "query_ids", "queries").mapInPandas(scanned, "query_id long, found array<struct<less:double,rep:long>>")
     near = near.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
     near = near.select("query_id", F.explode("found").alias("one")).select("query_id", F.col("one.rep").alias("rep"), (-F.col("one.less")).alias("score"))
 

@@ -109,3 +109,13 @@ def test_more_near_copies_than_are_scored_first(spark):
     rows = [(i, (centre + 1e-3 * rnd.normal(size=16)).tolist()) for i in range(3000)] + [(i, rnd.normal(size=16).tolist()) for i in range(3000, 4000)]
     got, want = result(nn.search(frame(spark, rows), F.col("vec_id") % 200 == 0)), brute(rows, step=200)
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_vectors_of_other_lengths_are_searched_among_themselves(spark):
+    rnd = np.random.default_rng(1)
+    rows = [(i, rnd.normal(size=6).tolist()) for i in range(100)] + [(100 + i, rnd.normal(size=3).tolist()) for i in range(30)] + [(140, [1.0, 2.0]), (2**53 + 1, rnd.normal(size=6).tolist())]
+    got = result(nn.search(frame(spark, rows), F.col("vec_id") % 20 == 0))
+    want = {}
+    for d in (6, 3, 2):
+        want |= brute([(i, v) for i, v in rows if len(v) == d])
+    assert got == {q: [(i, pytest.approx(s, rel=1e-12)) for i, s in v] for q, v in want.items() if v}
