@@ -30,7 +30,8 @@ BANDS, ROWS = 34, 7
 PLACES = BANDS * ROWS
 #: Differing sketch bits, at most, of a pair that is compared: 4.5 standard deviations beyond the threshold's mean.
 SKETCH_DIFFERS = int(PLACES * (1 - THRESHOLD) / 2 + 4.5 * (PLACES * 0.09) ** 0.5)
-_PAIRED, _BLOCK, _CLUSTER = 16, 2048, 768
+#: Documents of a bucket that are paired by a join; rows of a block of a bucket, and of a cluster; bytes of a cluster's block.
+_PAIRED, _BLOCK, _CLUSTER, _CLUSTER_BYTES = 16, 2048, 768, 8 << 20
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -178,12 +179,12 @@ def _links(frame: pd.DataFrame, side: np.ndarray | None, judge) -> list[tuple[in
     return forest.links
 
 
-def _in_blocks(rows: DataFrame, key: str, node: str, size: int) -> DataFrame:
-    """rows (with the size n of their key's group) for block-against-block comparison: columns one, two, side.
+def _in_blocks(rows: DataFrame, node: str, blocks) -> DataFrame:
+    """rows for block-against-block comparison: columns one, two, side. blocks: of the row's group, a Column.
 
-    A group of up to size rows is one block compared with itself; of a larger one, block i meets every block j.
+    A group of one block is compared with itself; of more, block i meets every block j.
     """
-    blocks = F.ceil(F.col("n") / size).cast("long")
+    blocks = F.greatest(F.ceil(blocks), F.lit(1)).cast("long")
     mine = F.pmod(F.xxhash64(node, F.lit(3)), blocks)
     rows = rows.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     return rows.withColumns({"one": F.least("_mine", "_other"), "two": F.greatest("_mine", "_other"), "side": (F.col("_mine") > F.col("_other")).cast("int")}).drop("_mine", "_other")
@@ -210,7 +211,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Stored: doc_id, words_a, words_b (128 bits of the word sequence; null without words), bands, sketch."""
+    """Stored: doc_id, words_a, words_b (128 bits of the word sequence), bytes, bands (null without words), sketch."""
     lean_batches(docs.sparkSession, 8)
 
     def rows(batches):
@@ -229,13 +230,14 @@ def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 some = np.array([len(r) > 0 for r in runs], bool)
                 same = [xxhash.xxh128_intdigest(" ".join((t or "").lower().split())) for t in part["text"]]
                 signed = lambda x: x - (1 << 64) if x >> 63 else x
+                size = [len(t or "") for t in part["text"]]
                 ids = {"words_a": [signed(s >> 64) for s in same], "words_b": [signed(s & (1 << 64) - 1) for s in same]}
-                out = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **ids, "bands": list(bands), "sketch": list(sketch)})
+                out = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **ids, "bytes": size, "bands": list(bands), "sketch": list(sketch)})
                 out.loc[~some, "bands"] = None
                 yield out
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialise(rows_in.filter("doc_id is not null").mapInPandas(rows, "doc_id long, words_a long, words_b long, bands array<long>, sketch array<long>"), "signatures")
+    return materialise(rows_in.filter("doc_id is not null").mapInPandas(rows, "doc_id long, words_a long, words_b long, bytes long, bands array<long>, sketch array<long>"), "signatures")
 
 
 def candidate_edges(nodes: DataFrame) -> DataFrame:
@@ -255,19 +257,21 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
             ids = g["node"].to_numpy()
             yield pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
 
-    many = _in_blocks(rows.filter(f"n > {_PAIRED}"), "bucket", "node", _BLOCK).repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+    many = _in_blocks(rows.filter(f"n > {_PAIRED}"), "node", F.col("n") / _BLOCK).repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
     return pairs.unionByName(many.select("bucket", "one", "two", "side", "node", "sketch").mapInPandas(spanned, "a long, b long")).distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row a row of docs with an id: doc_id, class_id (least id of its class), n_links (verified links kept for its node)."""
     sigs = signatures(docs, id_col, text)
-    heads = sigs.filter("bands is not null").groupBy("words_a", "words_b").agg(F.min("doc_id").alias("node"))
-    same = materialise(sigs.select("doc_id", "words_a", "words_b", F.col("bands").isNotNull().alias("some")).join(heads, ["words_a", "words_b"], "left").select("doc_id", F.when(F.col("some"), F.col("node")).otherwise(F.col("doc_id")).alias("node")), "nodes")
-    nodes = sigs.filter("bands is not null").join(heads.select(F.col("node").alias("doc_id"), "words_a", "words_b"), ["doc_id", "words_a", "words_b"], "left_semi")
-    nodes = nodes.dropDuplicates(["doc_id", "words_a", "words_b"]).select(F.col("doc_id").alias("node"), "bands", "sketch")
+    # Copies meet by a partial aggregate; only groups of two or more come back to their documents.
+    heads = materialise(sigs.filter("bands is not null").groupBy("words_a", "words_b").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"), "heads")
+    headed = sigs.join(small(heads, heads.count()), ["words_a", "words_b"], "left").withColumn("node", F.coalesce("head", "doc_id"))
+    same = headed.select("doc_id", "node")
+    nodes = headed.filter("bands is not null and doc_id = node").dropDuplicates(["doc_id", "words_a", "words_b"]).select("node", "bands", "sketch", "bytes")
+    nodes = materialise(nodes, "nodes")
     clusters = components(candidate_edges(nodes))
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = clusters.join(nodes.select("node", "bytes"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
     clusters = materialise(clusters.join(sizes, "root"), "clusters")
     some = clusters.count()
 
@@ -291,7 +295,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text"))
     texts = texts.join(small(clusters, some), "node").join(small(nodes.select("node", "sketch").join(clusters.select("node"), "node", "left_semi"), some), "node")
-    grouped = _in_blocks(texts, "root", "node", _CLUSTER).repartition("root", "one", "two").sortWithinPartitions("root", "one", "two")
+    grouped = _in_blocks(texts, "node", F.greatest(F.col("n") / _CLUSTER, F.col("bytes") / _CLUSTER_BYTES)).repartition("root", "one", "two").sortWithinPartitions("root", "one", "two")
     links = materialise(grouped.select("root", "one", "two", "side", "node", "text", "sketch").mapInPandas(verified, "a long, b long").filter("a <> b").distinct(), "links")
     classes = components(links).withColumnRenamed("root", "class_id")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
