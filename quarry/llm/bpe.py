@@ -14,9 +14,9 @@ import sys
 import numpy as np
 
 #: Bytes of memory that a worker's cache may hold before it is emptied; a pure cache, results do not depend on it.
-CACHE_BYTES = 72 << 20
+CACHE_BYTES = 112 << 20
 #: What an entry takes beside its characters and ids: two objects and its slot.
-_ENTRY = 190
+_ENTRY = 150
 #: Characters of texts whose units are looked up together; a longer text is cut into stretches of about so many.
 STRETCH = 1 << 20
 #: Units in one call of the library.
