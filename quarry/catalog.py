@@ -10,6 +10,7 @@ from quarry.functions import text as X
 from quarry.operators import admin as A
 from quarry.operators import index
 from quarry.operators import tables as T
+from quarry.operators.storage import fresh_path
 from quarry.plans import search
 from quarry.sources import extract as E
 from quarry.sources import tree
@@ -67,8 +68,22 @@ def doc_columns(read) -> DataFrame:
     return index.record_columns(rows)
 
 
+_INDEXES: dict[tuple, index.Index] = {}
+
+
+def opened(read, name: str, columns, contents=None) -> index.Index:
+    """The stored index over columns and contents of these tables; built at its first use in a session."""
+    spark = SparkSession.active()
+    key = (spark.sparkContext.applicationId, read(name).inputFiles()[0], name)
+    if key not in _INDEXES:
+        path = fresh_path(spark, f"index-{name}")
+        index.write_index(path, columns(read), contents and contents(read))
+        _INDEXES[key] = index.open_index(spark, path, contents is not None)
+    return _INDEXES[key]
+
+
 def found(read, text: str, limit: int = 100, **options) -> DataFrame:
-    rows = search.ranked(doc_columns(read), text, index.content_postings(content(read)), limit=limit, as_of=AS_OF, substring_fallback="never", fuzzy=False, **options)
+    rows = search.ranked(None, text, limit=limit, as_of=AS_OF, substring_fallback="never", fuzzy=False, index=opened(read, "documents", doc_columns, content), **options)
     return rows.select("volume", "node", "path", "score", "reason")
 
 
@@ -137,7 +152,7 @@ def content_postings(read):
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences FROM {TOKENS} GROUP BY term")
 def content_term_frequency(read):
-    return index.token_positions(content(read)).groupBy("term").agg(F.countDistinct("node").alias("df"), F.count(F.lit(1)).alias("occurrences"))
+    return index.term_frequency(index.content_postings(content(read)))
 
 
 @query(f"""WITH p AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY term) AS total FROM (SELECT DISTINCT term, doc_id FROM {TOKENS}))
@@ -294,7 +309,7 @@ def search_filters(read):
  + 12 * least((length(name) - length(replace(lower(name), 'bolt', ''))) // 4, 8) + 6 * least((length(path) - length(replace(lower(path), 'bolt', ''))) // 4, 8) AS BIGINT) AS score FROM r
  WHERE (list_contains(t, 'bolt') OR len(list_filter(t, lambda x: starts_with(x, 'bolt'))) > 0 OR list_contains(pt, 'bolt') OR list_contains(tags, 'bolt') OR contains(lower(name), 'bolt')) ORDER BY score DESC, lower(name), path, volume, node LIMIT 50""")
 def search_names(read):
-    rows = search.ranked(index.record_columns(parts(read)), "bolt", None, limit=50, deep=False, as_of=AS_OF, substring_fallback="always")
+    rows = search.ranked(None, "bolt", limit=50, deep=False, as_of=AS_OF, substring_fallback="always", index=opened(read, "part", lambda r: index.record_columns(parts(r))))
     return rows.select("node", "name", "score")
 
 
@@ -305,7 +320,7 @@ def search_fuzzy_names(read):
 
 @query()
 def search_hot_deep(read):
-    hot, deep = search.hot_and_deep(doc_columns(read), "that en", index.content_postings(content(read)), limit=50, as_of=AS_OF, substring_fallback="never")
+    hot, deep = search.hot_and_deep(None, "that en", None, limit=50, as_of=AS_OF, substring_fallback="never", index=opened(read, "documents", doc_columns, content))
     return hot.withColumn("batch", F.lit("hot")).unionByName(deep.withColumn("batch", F.lit("deep"))).select("batch", "node", "score", "reason")
 
 

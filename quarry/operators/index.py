@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as X
 
+from .storage import stored
+
 ID = ["volume", "node"]
 BLOCK = 128
 
@@ -68,8 +72,23 @@ def token_positions(content: DataFrame) -> DataFrame:
 
 
 def content_postings(content: DataFrame) -> DataFrame:
-    """term, volume, node, positions (ascending)."""
-    return token_positions(content).groupBy("term", *ID).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """term, volume, node, positions (ascending): grouped within each document's row, so nothing is shuffled.
+
+    A document's tokens are sorted with their places; a term's positions are the stretch between two changes of the term.
+    A volume and node are expected once.
+    """
+    places = F.sort_array(F.transform(X.tokens(F.col("text")), lambda t, k: F.struct(t.alias("term"), k.alias("pos"))))
+    rows = content.select(*ID, places.alias("places")).filter(F.size("places") > 0)
+    starts = F.filter(F.sequence(F.lit(1), F.size("places")), lambda k: (k == 1) | (F.element_at("places", k)["term"] != F.element_at("places", F.greatest(k - 1, F.lit(1)))["term"]))
+    rows = rows.withColumn("starts", F.concat(starts, F.array(F.size("places") + 1)))
+    runs = F.transform(F.sequence(F.lit(1), F.size("starts") - 1), lambda k: F.struct(F.element_at("starts", k).alias("a"), F.element_at("starts", k + 1).alias("b")))
+    rows = rows.select(*ID, "places", F.explode(runs).alias("run"))
+    return rows.select(F.element_at("places", F.col("run.a"))["term"].alias("term"), *ID, F.slice("places", F.col("run.a"), F.col("run.b") - F.col("run.a"))["pos"].alias("positions"))
+
+
+def term_frequency(postings: DataFrame) -> DataFrame:
+    """term, df (records that hold it), occurrences."""
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).alias("occurrences"))
 
 
 def merged_postings(*tables: DataFrame) -> DataFrame:
@@ -108,13 +127,54 @@ def dictionary(columns: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     terms = out.filter("term is not null and term <> ''").groupBy("term").agg(F.array_sort(F.collect_set("class")).alias("classes"))
-    # Ordinals by counts of ranges of terms: no task orders the whole dictionary.
-    ranged = terms.withColumn("part", F.left("term", F.lit(1)))
+    # Ordinals by counts of sampled ranges of terms: no task orders the whole dictionary, whatever terms begin with.
+    ranged = stored(terms.repartitionByRange("term").withColumn("part", F.spark_partition_id()), "dictionary")
     base = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.row_number().over(Window.partitionBy("part").orderBy("term"))
     return ranged.withColumn("rn", within).join(base, "part").select((F.col("base") + F.col("rn") - 1).alias("ordinal"), "term", "classes")
 
 
+NAME_KINDS = ("exact", "term", "prefix", "gram", "path", "extension", "kind", "tag", "comment")
+
+
+@dataclass(frozen=True)
+class Index:
+    """The stored tables of an index: record columns; names (kind, key, ids); content (term, ids, positions); fuzzy (key, term); terms (kind, key, df)."""
+
+    columns: DataFrame
+    names: DataFrame
+    content: DataFrame | None
+    fuzzy: DataFrame
+    terms: DataFrame
+
+
+def write_index(path: str, columns: DataFrame, content: DataFrame | None = None) -> None:
+    """Writes the index of record columns and content (volume, node, text) under path.
+
+    Postings lie sorted by key over ranges of keys, so that a lookup reads the row groups of its keys only.
+    """
+    columns.write.parquet(f"{path}/columns")
+    columns = columns.sparkSession.read.parquet(f"{path}/columns")
+    names = None
+    for kind in NAME_KINDS:
+        part = name_postings(columns, kind).withColumn("kind", F.lit(kind))
+        names = part if names is None else names.unionByName(part)
+    names.repartitionByRange("kind", "key").sortWithinPartitions("kind", "key", *ID).write.option("parquet.block.size", 16 << 20).parquet(f"{path}/names")
+    names = columns.sparkSession.read.parquet(f"{path}/names")
+    fuzzy_postings(columns).repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{path}/fuzzy")
+    terms = names.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("df"))
+    if content is not None:
+        content_postings(content).repartitionByRange("term").sortWithinPartitions("term", *ID).write.option("parquet.block.size", 16 << 20).parquet(f"{path}/content")
+        found = columns.sparkSession.read.parquet(f"{path}/content")
+        terms = terms.unionByName(found.groupBy(F.col("term").alias("key")).agg(F.count(F.lit(1)).alias("df")).withColumn("kind", F.lit("content")))
+    terms.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{path}/terms")
+
+
+def open_index(spark: SparkSession, path: str, content: bool = True) -> Index:
+    table = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Index(table("columns"), table("names"), table("content") if content else None, table("fuzzy"), table("terms"))
+
+
 def hydrate(records: DataFrame, ids: DataFrame) -> DataFrame:
     """Records of the ids; repeated ids count once."""
     return records.join(ids.select(*ID), ID, "left_semi")

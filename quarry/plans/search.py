@@ -3,6 +3,9 @@
 hit = seeded and predicate. All signals are boolean or integer columns of one row, so the plan is a scan, a join with the
 positions of the few query terms, a filter and TakeOrderedAndProject; the only other job is the count that decides the
 substring fallback when it is left to the limit.
+
+With a stored index the scan is replaced by candidates: the ids of the postings that some signal or seed of the query
+reads, each looked up by its keys; only their records are scored. Candidates are a superset, so hits are the same.
 """
 
 from __future__ import annotations
@@ -14,7 +17,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.functions.text import python_tokens
-from quarry.operators.index import ID
+from quarry.operators.index import ID, Index
+
+from quarry.operators.storage import stored
 
 from .query import And, Filter, Not, Or, Phrase, Proximity, Query, Term, parse
 
@@ -175,11 +180,15 @@ class Compiler:
         tests = self.intent_tests()
         return reduce(lambda a, k: a | (F.coalesce(tests[k], F.lit(0)) > 0), [k for k, words in _INTENTS.items() if t in words], F.lit(False))
 
-    def intent_score(self) -> Column:
-        q, tests = self.query, self.intent_tests()
+    def intents(self) -> list[str]:
+        q = self.query
         wanted = [k for k, words in _INTENTS.items() if any(w in q.terms or any(w in p for p in q.phrases) for w in words)]
         if "screenshot" not in wanted and ({"screen", "shot"} <= set(q.terms) or any("screen shot" in p for p in q.phrases)):
             wanted.append("screenshot")
+        return wanted
+
+    def intent_score(self) -> Column:
+        wanted, tests = self.intents(), self.intent_tests()
         return reduce(lambda a, k: a + F.coalesce(tests[k], F.lit(0)), wanted, F.lit(0))
 
     # Signals: (test, weight, reason), in the order that decides ties of reasons
@@ -265,27 +274,158 @@ def _needs_all(e) -> bool:
     return isinstance(e, (Filter, Not))
 
 
+#: Candidates of at most so many ids (two numbers each) are broadcast to the records.
+FEW = 200_000
+
+
+class Lookup:
+    """Candidates from a stored index: for each part of a query the keys of the postings that hold all its hits."""
+
+    def __init__(self, index: Index, c: Compiler):
+        self.index, self.c = index, c
+        self.names: dict[str, set[str]] = {}
+        self.words: set[str] = set()
+        self.fuzzy: set[str] = set()
+
+    def key(self, kind: str, *keys: str) -> None:
+        self.names.setdefault(kind, set()).update(keys)
+
+    def term(self, t: str) -> None:
+        for kind in ("term", "path", "comment", "extension", "tag"):
+            self.key(kind, t)
+        if self.c.deep:
+            self.words.add(t)
+            if self.c.fuzzy:
+                self.fuzzy.add(t)
+
+    def rarest(self, kinds: tuple[str, ...], words: list[str]) -> str:
+        """The word of the fewest postings of these kinds: each hit has them all, so the hits of one are enough."""
+        if len(words) < 2:
+            return words[0]
+        rows = self.index.terms.filter(F.col("key").isin(words) & F.col("kind").isin(*kinds)).groupBy("key").agg(F.sum("df")).collect()  # a row a word of the query
+        n = dict(map(tuple, rows))
+        return min(words, key=lambda w: (n.get(w, 0), w))
+
+    def anchored(self, words: list[str], kinds: tuple[str, ...]) -> None:
+        if words:
+            w = self.rarest(kinds, sorted(set(words)))
+            for kind in kinds:
+                if kind != "content":
+                    self.key(kind, w)
+                elif self.c.deep:
+                    self.words.add(w)
+
+    def seeds(self, e) -> bool:
+        """The keys of an expression's bounded candidates; False where Compiler.candidates has none."""
+        if isinstance(e, Term):
+            self.term(e.text)
+        elif isinstance(e, Phrase):
+            self.anchored(python_tokens(e.text), ("term", "path", "comment", "content"))
+        elif isinstance(e, Proximity):
+            if not self.c.deep:
+                return False
+            self.anchored(list(e.terms), ("content",))
+        elif isinstance(e, Filter):
+            if e.field in ("ext", "tag", "kind"):
+                self.key({"ext": "extension"}.get(e.field, e.field), e.value)
+            elif e.field in ("name", "path") and python_tokens(e.value):
+                self.anchored(python_tokens(e.value), ({"name": "term"}.get(e.field, e.field),))
+            else:
+                return False
+        elif isinstance(e, Or):
+            return all([self.seeds(a) for a in e.arms])
+        elif isinstance(e, And):
+            return any([self.seeds(a) for a in e.arms])
+        else:
+            return False
+        return True
+
+    def ids(self, substring: bool) -> DataFrame:
+        """volume, node of all candidates."""
+        q, x = self.c.query, self.index
+        if q.text:
+            self.key("exact", q.text)
+            if len(q.text) <= X.MAX_PREFIX:
+                self.key("prefix", q.text)
+        for t in q.terms:
+            self.term(t)
+        for p in q.phrases:
+            self.seeds(Phrase(p))
+        for p in q.proximities:
+            self.seeds(p)
+        if q.expression is not None:
+            self.seeds(q.expression)
+        wanted = reduce(lambda a, k: a | ((F.col("kind") == k) & F.col("key").isin(sorted(self.names[k]))), sorted(self.names), F.lit(False))
+        found = x.names.filter(wanted).select(*ID)
+        if self.words and x.content is not None:
+            found = found.unionByName(x.content.filter(F.col("term").isin(sorted(self.words))).select(*ID))
+        keys = sorted({k for t in self.fuzzy for k in X.deletions(t)})
+        if keys:
+            near = x.fuzzy.filter(F.col("key").isin(keys)).select("term").distinct()
+            near = near.filter(_or(X.fuzzy_match(F.col("term"), t) for t in sorted(self.fuzzy)))
+            found = found.unionByName(x.names.filter("kind = 'term'").join(near, F.col("key") == F.col("term"), "left_semi").select(*ID))
+        if substring:
+            grams = sorted({q.text[k : k + 3] for k in range(len(q.text) - 2)})
+            hits = x.names.filter((F.col("kind") == "gram") & F.col("key").isin(grams)).groupBy(*ID).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(grams))
+            found = found.unionByName(hits.select(*ID))
+        return found.distinct()
+
+
+    def most(self, substring: bool) -> int | None:
+        """At least as many as the candidates, from the counts of their postings; None if fuzzy names add to them."""
+        if any(X.deletions(t) for t in self.fuzzy):
+            return None
+        asked = {k: sorted(keys) for k, keys in self.names.items()} | ({"content": sorted(self.words)} if self.words else {})
+        if substring:  # a hit has all grams: any one of them bounds the hits
+            asked["gram"] = [self.c.query.text[:3]]
+        wanted = _or((F.col("kind") == k) & F.col("key").isin(keys) for k, keys in sorted(asked.items()))
+        rows = self.index.terms.filter(F.col("key").isin(sorted({x for keys in asked.values() for x in keys})) & wanted)
+        return rows.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+
+
+def candidate_records(index: Index, c: Compiler, substring: bool) -> DataFrame:
+    """The records that can be hits of the query: by the index, or all of them where it has nothing to say."""
+    q = c.query
+    only_filters = q.filters and not (q.terms or q.phrases or q.proximities)
+    if c.intents() or c.everything() or only_filters and (q.expression is None or c.candidates(q.expression) is None):
+        return index.columns
+    lookup = Lookup(index, c)
+    ids = lookup.ids(substring)
+    most = lookup.most(substring)
+    if most is None:
+        ids = stored(ids, "candidates")
+        most = ids.count()
+    return index.columns.join(F.broadcast(ids) if most <= FEW else ids, ID, "left_semi")
+
+
 def with_positions(columns: DataFrame, postings: DataFrame | None, terms: list[str]) -> DataFrame:
     """columns with p_k, the positions of term k in the record's content; null without the term."""
     if postings is None or not terms:
         return columns.withColumns({f"p_{k}": F.lit(None).cast("array<int>") for k in range(len(terms))})
     few = postings.filter(F.col("term").isin(terms))
+    if len(terms) == 1:
+        return columns.join(few.select(*ID, F.col("positions").alias("p_0")), ID, "left")
     each = few.groupBy(*ID).agg(*(F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"p_{k}") for k, t in enumerate(terms)))
     return columns.join(each, ID, "left")
 
 
-def ranked(columns: DataFrame, text: str, postings: DataFrame | None = None, limit: int = 50, deep: bool = True, fuzzy: bool = True, as_of: str | None = None, pinned: DataFrame | None = None, substring_fallback: str = "auto", volumes: list[int] | None = None) -> DataFrame:
-    """volume, node, path, name, score, reason of the best hits, in order.
+def ranked(columns: DataFrame | None, text: str, postings: DataFrame | None = None, limit: int = 50, deep: bool = True, fuzzy: bool = True, as_of: str | None = None, pinned: DataFrame | None = None, substring_fallback: str = "auto", volumes: list[int] | None = None, index: Index | None = None) -> DataFrame:
+    """volume, node, path, name, score, reason of the best hits, in order; with an index, columns and postings are its own.
 
     substring_fallback: auto (only if fewer than limit records scored, as the language has it), always or never.
     """
     query = parse(text)
+    columns, postings = (columns, postings) if index is None else (index.columns, index.content)
     none = columns.select(*ID, "path", "name", F.lit(0).cast("long").alias("score"), F.lit("").alias("reason")).limit(0)
     if limit <= 0 or query == Query() or volumes == []:
         return none
     if volumes is not None:
         columns = columns.filter(F.col("volume").isin(volumes))
     c = Compiler(query, deep, fuzzy, as_of)
+    if index is not None:
+        substring = len(query.text) >= 3 and substring_fallback != "never"
+        columns = candidate_records(index, c, substring)
+        columns = columns.filter(F.col("volume").isin(volumes)) if volumes is not None else columns
     rows = with_positions(columns, postings if deep else None, query.content_terms)
     signals = c.signals()
     flags = {f"s_{k}": test for k, (test, _, _) in enumerate(signals)}
@@ -313,14 +453,14 @@ def ranked(columns: DataFrame, text: str, postings: DataFrame | None = None, lim
     return rows.orderBy(F.desc("score"), F.lower("name"), "path", *ID).limit(limit)
 
 
-def hot_and_deep(columns: DataFrame, text: str, postings: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+def hot_and_deep(columns: DataFrame | None, text: str, postings: DataFrame | None, **options) -> tuple[DataFrame, DataFrame]:
     """The hot batch (no content, no fuzzy names), and the deep batch: hits that are new or score higher than in it."""
     hot = ranked(columns, text, None, deep=False, **options)
     shown = hot.collect()  # the first page, at most limit rows: it is out before the deep pass starts
     before = {(r.volume, r.node): r.score for r in shown}
     deep = ranked(columns, text, postings, deep=True, **options)
     better = [r for r in deep.collect() if r.score > before.get((r.volume, r.node), r.score - 1)]
-    spark = columns.sparkSession
+    spark = hot.sparkSession
     return spark.createDataFrame(shown, hot.schema), spark.createDataFrame(better, deep.schema)
 
 
