@@ -126,7 +126,12 @@ def metadata_postings(read):
     return index.metadata_postings(index.record_columns(parts(read)))
 
 
-@query()
+FUZZY = "length({0}) BETWEEN 2 AND 32 AND regexp_matches({0}, '[a-z]') AND NOT regexp_matches({0}, '[0-9]{{5}}')"
+_SHORTER = "SELECT term, key[1:i - 1] || key[i + 1:] AS key FROM (SELECT *, unnest(range(1, length(key) + 1)) AS i FROM {})"
+
+
+@query(f"""WITH a AS (SELECT term, term AS key FROM (SELECT DISTINCT unnest({TOK.format('p_name')}) AS term FROM part) WHERE {FUZZY.format('term')}), b AS ({_SHORTER.format('a')}), c AS ({_SHORTER.format('b')})
+SELECT DISTINCT key, term FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) WHERE key <> ''""")
 def fuzzy_postings(read):
     return index.fuzzy_postings(index.record_columns(parts(read)))
 
@@ -204,10 +209,10 @@ def hydrate_records(read):
     return index.hydrate(parts(read), ids).select("node", "name")
 
 
-@query("SELECT count(*) AS missing FROM (SELECT DISTINCT ps.k FROM (SELECT p_partkey * 2 AS k FROM part) ps WHERE ps.k NOT IN (SELECT p_partkey FROM part))")
+@query("SELECT DISTINCT ps.k % 4 AS volume, ps.k AS node FROM (SELECT p_partkey * 2 AS k FROM part) ps WHERE ps.k NOT IN (SELECT p_partkey FROM part)")
 def missing_ids(read):
     ids = read("part").select((F.col("p_partkey") * 2 % 4).alias("volume"), (F.col("p_partkey") * 2).alias("node"))
-    return index.missing(parts(read), ids).agg(F.count(F.lit(1)).alias("missing"))
+    return index.missing(parts(read), ids)
 
 
 @query(f"SELECT node, path FROM {PARTS} WHERE starts_with(path, '/Brand/1') AND (path = '/Brand/13' OR starts_with(path, '/Brand/13/'))")
@@ -243,10 +248,10 @@ def scan_summary(read):
     return parts(read).groupBy("kind", "hidden").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bytes"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n FROM part WHERE p_brand <> 'Brand#13'")
+@query("SELECT p_partkey AS node, replace(p_brand, '#', '/') AS brand FROM part WHERE p_brand <> 'Brand#13'")
 def generated_filter(read):
     rows = parts(read).withColumn("path", F.replace("path", F.lit("/Brand/13/"), F.lit("/Brand/node_modules/")))
-    return tree.outside_generated(rows).agg(F.count(F.lit(1)).alias("n"))
+    return tree.outside_generated(rows).select("node", F.regexp_extract("path", "^/(Brand/[0-9]+)/", 1).alias("brand"))
 
 
 @query("SELECT p_partkey AS node, CASE WHEN p_size % 5 = 0 AND p_size % 3 = 0 THEN 'application' WHEN p_size % 5 = 0 AND p_size % 3 = 1 THEN 'document-package' END AS package FROM part")
@@ -313,27 +318,29 @@ def search_names(read):
     return rows.select("node", "name", "score")
 
 
-@query()
+@query(f"""SELECT node, name, CAST(100 AS BIGINT) AS score, 'FuzzyName' AS reason FROM {PARTS}
+WHERE len(list_filter({TOK.format('name')}, lambda t: {FUZZY.format('t')} AND levenshtein(t, 'wigdet') <= 2)) > 0 AND NOT contains(lower(path || name), 'wigdet') ORDER BY lower(name), path, volume, node LIMIT 50""")
 def search_fuzzy_names(read):
     return search.ranked(index.record_columns(parts(read)), "wigdet", None, limit=50, as_of=AS_OF, substring_fallback="never").select("node", "name", "score", "reason")
 
 
-@query()
+@query(f"""SELECT 'deep' AS batch, doc_id AS node, CAST(150 + 8 * least(n0, 8) + CASE WHEN n1 > 0 THEN 150 + 8 * least(n1, 8) ELSE 0 END + CASE WHEN lang = 'en' THEN 325 ELSE 0 END AS BIGINT) AS score, CASE WHEN lang = 'en' THEN 'Tag' ELSE 'Content' END AS reason
+FROM (SELECT doc_id, count(*) FILTER (term = 'that') AS n0, count(*) FILTER (term = 'en') AS n1 FROM {TOKENS} GROUP BY doc_id) JOIN documents USING (doc_id) WHERE n0 > 0 AND (n1 > 0 OR contains(lang, 'en') OR contains(source, 'en')) ORDER BY score DESC, doc_id LIMIT 50""")
 def search_hot_deep(read):
     hot, deep = search.hot_and_deep(None, "that en", None, limit=50, as_of=AS_OF, substring_fallback="never", index=opened(read, "documents", doc_columns, content))
     return hot.withColumn("batch", F.lit("hot")).unionByName(deep.withColumn("batch", F.lit("deep"))).select("batch", "node", "score", "reason")
 
 
-@query("SELECT doc_id AS node, position('that' IN lower(text)) > 0 AS found FROM documents WHERE contains(lower(text), ' that ') AND doc_id < 100")
+@query("SELECT doc_id AS node, position('that' IN lower(text)) > 0 AS found FROM documents WHERE contains(lower(text), ' that ')")
 def content_snippets(read):
-    rows = content(read).filter("node < 100 and contains(lower(text), ' that ')")
+    rows = content(read).filter("contains(lower(text), ' that ')")
     made = X.snippet(F.struct(F.col("text").alias("text"), F.array(F.lit("that")).alias("needles"), F.lit(16).alias("context")))
     return rows.select("node", made["text"].isNotNull().alias("found"))
 
 
 @query()
 def content_snippets_whole(read):
-    """Text and highlights (in bytes) of every matching document; content_snippets compares the first 100 ids with SQL."""
+    """Text and highlights (in bytes) of every matching document, beyond SQL; content_snippets compares which have one."""
     rows = content(read).filter("contains(lower(text), ' that ')")
     made = X.snippet(F.struct(F.col("text").alias("text"), F.array(F.lit("that")).alias("needles"), F.lit(16).alias("context")))
     return rows.select("node", made.alias("made")).select("node", F.col("made.text").alias("snippet"), F.col("made.highlights").alias("highlights"))
@@ -445,11 +452,11 @@ def repair_plan(read):
     return V.repair_plan(e.unionByName(deeper)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT CAST(count(*) AS BIGINT) AS n FROM {PARTS} WHERE NOT starts_with(path, '/Brand/13/') AND NOT starts_with(path, '/Brand/21/')")
+@query(f"SELECT node, path FROM {PARTS} WHERE NOT starts_with(path, '/Brand/13/') AND NOT starts_with(path, '/Brand/21/')")
 def apply_removals(read):
     r = parts(read).select("node", "path")
     events = r.sparkSession.createDataFrame([(1, "remove", "/Brand/13", 0), (2, "remove", "/Brand/21", 0)], "seq long, kind string, path string, node long")
-    return V.applied(r, events).agg(F.count(F.lit(1)).alias("n"))
+    return V.applied(r, events).select("node", "path")
 
 
 # ---- Jobs, operations, telemetry
@@ -574,10 +581,10 @@ def extract_html(read):
     return E.extract(files).select("path", "format", "status", "bytes_read", F.length("text").alias("n_chars"))
 
 
-@query("SELECT doc_id, 'extracted' AS status, CAST(strlen(text) AS BIGINT) AS bytes_read FROM documents")
+@query("SELECT doc_id, 'extracted' AS status, CAST(strlen(text) AS BIGINT) AS bytes_read, text FROM documents")
 def extract_text(read):
     files = read("documents").select(F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
-    return E.extract(files).select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "status", "bytes_read")
+    return E.extract(files).select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "status", "bytes_read", "text")
 
 
 @query(r"""SELECT page_id, CASE WHEN e IN ('html', 'htm') THEN 'rich' ELSE 'unsupported' END AS format, CAST(CASE WHEN e IN ('html', 'htm') THEN 6 ELSE 1 END AS INTEGER) AS version FROM (SELECT page_id, regexp_extract(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '\.([^./]*)$', 1) AS e FROM pages)""")
@@ -662,9 +669,9 @@ def cancel_jobs(read):
     return A.cancelled(jobs(read).withColumn("state", F.lit("queued")), **{"class": "interactive", "status": "O"}).select("id", "state")
 
 
-@query(f"SELECT CAST(count(*) AS BIGINT) AS n FROM {PARTS} WHERE NOT starts_with(path, '/Brand/13/') AND NOT starts_with(path, '/Brand/2/')")
+@query(f"SELECT node, path FROM {PARTS} WHERE NOT starts_with(path, '/Brand/13/') AND NOT starts_with(path, '/Brand/2/')")
 def search_scope(read):
-    return A.outside(parts(read), ["/Brand/13", "/Brand/2"]).agg(F.count(F.lit(1)).alias("n"))
+    return A.outside(parts(read), ["/Brand/13", "/Brand/2"]).select("node", "path")
 
 
 @query(f"""WITH t AS {TOKENS}, d AS (SELECT doc_id FROM documents WHERE doc_id % 4 = 0 OR doc_id % 3 = 0) SELECT count(*) AS postings, CAST(0 AS BIGINT) + (SELECT count(*) FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0) AS tombstones FROM (SELECT DISTINCT term, doc_id FROM t WHERE doc_id IN (SELECT doc_id FROM d))""")
