@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,9 @@ BANDS, ROWS = 34, 7
 PLACES = BANDS * ROWS
 #: Differing sketch bits, at most, of a pair that is compared: 4.5 standard deviations beyond the threshold's mean.
 SKETCH_DIFFERS = int(PLACES * (1 - THRESHOLD) / 2 + 4.5 * (PLACES * 0.09) ** 0.5)
-#: Documents of a bucket that are paired by a join; rows of a block of a bucket, and of a cluster; bytes of a cluster's block.
+#: Shingles that are signed together: enough for numpy, little memory.
+_TOGETHER = 1 << 16
+#: Documents of a bucket that are paired by a join; rows of a block of a bucket, and of a cluster; characters of a cluster's block.
 _PAIRED, _BLOCK, _CLUSTER, _CLUSTER_BYTES = 16, 2048, 768, 8 << 20
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -214,30 +217,39 @@ def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """Stored: doc_id, words_a, words_b (128 bits of the word sequence), bytes, bands (null without words), sketch."""
     lean_batches(docs.sparkSession, 8)
 
+    def signed_together(ids: list, texts: list, runs: list) -> pa.RecordBatch:
+        # Distinct shingles with counts, of all texts at once.
+        doc = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+        h = np.concatenate(runs)
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
+        sig = bag_min_hash(doc[new], h[new], np.diff(np.r_[new, len(h)]).astype(np.int64), len(runs))
+        bands, sketch = bands_and_sketch(sig)
+        words = np.frombuffer(b"".join(xxhash.xxh128_digest(" ".join(t.lower().split())) for t in texts), ">i8").astype(np.int64).reshape(-1, 2)
+        lists = lambda x, none=None: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()), mask=none)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy()), pa.array([len(t) for t in texts], pa.int64()), lists(bands, pa.array([not len(r) for r in runs])), lists(sketch)],
+            names=["doc_id", "words_a", "words_b", "bytes", "bands", "sketch"],
+        )
+
     def rows(batches):
-        for pdf in batches:
-            for k in range(0, len(pdf), 256):
-                part = pdf.iloc[k : k + 256]
-                runs = [shingles(t) for t in part["text"]]
-                # Distinct shingles with counts, of all texts at once.
-                doc = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-                h = np.concatenate(runs) if len(runs) else np.zeros(0, np.uint64)
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
-                sig = bag_min_hash(doc[new], h[new], np.diff(np.r_[new, len(h)]).astype(np.int64), len(runs))
-                bands, sketch = bands_and_sketch(sig)
-                some = np.array([len(r) > 0 for r in runs], bool)
-                same = [xxhash.xxh128_intdigest(" ".join((t or "").lower().split())) for t in part["text"]]
-                signed = lambda x: x - (1 << 64) if x >> 63 else x
-                size = [len(t or "") for t in part["text"]]
-                ids = {"words_a": [signed(s >> 64) for s in same], "words_b": [signed(s & (1 << 64) - 1) for s in same]}
-                out = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **ids, "bytes": size, "bands": list(bands), "sketch": list(sketch)})
-                out.loc[~some, "bands"] = None
-                yield out
+        for batch in batches:
+            ids, texts, runs, held = [], [], [], 0
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                t = t.as_py() or ""
+                ids.append(i)
+                texts.append(t)
+                runs.append(shingles(t))
+                held += len(runs[-1]) + 64
+                if held >= _TOGETHER:
+                    yield signed_together(ids, texts, runs)
+                    ids, texts, runs, held = [], [], [], 0
+            if ids:
+                yield signed_together(ids, texts, runs)
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialise(rows_in.filter("doc_id is not null").mapInPandas(rows, "doc_id long, words_a long, words_b long, bytes long, bands array<long>, sketch array<long>"), "signatures")
+    return materialise(rows_in.filter("doc_id is not null").mapInArrow(rows, "doc_id long, words_a long, words_b long, bytes long, bands array<long>, sketch array<long>"), "signatures")
 
 
 def candidate_edges(nodes: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def test_classes_against_brute_force(spark):
 
 
 def test_blocks_give_the_same_classes(spark, monkeypatch):
-    for name, value in (("_PAIRED", 2), ("_BLOCK", 5), ("_CLUSTER", 4)):
+    for name, value in (("_PAIRED", 2), ("_BLOCK", 5), ("_CLUSTER", 4), ("_CLUSTER_BYTES", 200), ("_TOGETHER", 300)):
         monkeypatch.setattr(nd, name, value)
     rows = corpus(5, 5, 30)
     got = {r.doc_id: r.class_id for r in nd.near_classes(frame(spark, rows)).collect()}
