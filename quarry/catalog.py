@@ -245,7 +245,7 @@ def keep_both_names(read):
 
 @query(f"SELECT kind, hidden, count(*) AS n, CAST(sum(len) AS BIGINT) AS bytes FROM {PARTS} GROUP BY ALL")
 def scan_summary(read):
-    return parts(read).groupBy("kind", "hidden").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bytes"))
+    return tree.summary(parts(read), "kind", "hidden")
 
 
 @query("SELECT p_partkey AS node, replace(p_brand, '#', '/') AS brand FROM part WHERE p_brand <> 'Brand#13'")
@@ -623,6 +623,57 @@ def manifest_recovery(read):
     return A.manifest_recovery(p.filter("k % 5 <> 0").select("path", "postings"), segments)
 
 
+@query("""WITH o AS (SELECT p_partkey AS k, CASE p_size % 7 WHEN 0 THEN 'missing' WHEN 1 THEN 'unreadable' ELSE 'current' END AS records, CASE p_partkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'unreadable' ELSE 'current' END AS state, p_partkey % 11 = 0 AS other_root, p_partkey % 13 = 0 AS other_path, p_partkey % 17 = 0 AS other_count, p_size % 3 = 0 AS suspended FROM part),
+ r AS (SELECT k, CASE WHEN suspended AND state = 'current' AND NOT other_root AND NOT other_path THEN 'suspended-admission' WHEN records = 'missing' THEN 'missing-records' WHEN records = 'unreadable' THEN 'unreadable-records' WHEN state = 'missing' THEN 'missing-state' WHEN state = 'unsupported' THEN 'unsupported-state-schema'
+ WHEN state = 'unreadable' THEN 'unreadable-state' WHEN other_root THEN 'root-mismatch' WHEN other_path THEN 'records-path-mismatch' WHEN other_count THEN 'record-count-mismatch' ELSE 'healthy' END AS reason FROM o)
+SELECT '/v' || k AS root, reason, CASE reason WHEN 'healthy' THEN 'ready' WHEN 'suspended-admission' THEN 'ready' WHEN 'missing-records' THEN 'rebuild-records-and-state' WHEN 'unreadable-records' THEN 'quarantine-records-and-rebuild' WHEN 'unsupported-state-schema' THEN 'migrate-state' ELSE 'rebuild-state' END AS action FROM r""")
+def index_recovery(read):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    root = F.concat(F.lit("/v"), k.cast("string"))
+    return A.index_recovery(read("part").select(
+        root.alias("root"), F.when(size % 7 == 0, "missing").when(size % 7 == 1, "unreadable").otherwise("current").alias("records"), F.when(k % 5 == 0, "missing").when(k % 5 == 1, "unsupported").when(k % 5 == 2, "unreadable").otherwise("current").alias("state"),
+        F.when(k % 11 == 0, "/other").otherwise(root).alias("state_root"), F.lit("r").alias("records_path"), F.when(k % 13 == 0, "s").otherwise("r").alias("state_records_path"), size.alias("record_count"), F.when(k % 17 == 0, size + 1).otherwise(size).alias("state_record_count"), (size % 3 == 0).alias("suspended"),
+    ))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 < 2 OR p_partkey % 3 = 0 OR p_partkey % 7 = 0 THEN 'defer' WHEN p_partkey % 3 = 1 OR p_partkey % 7 = 1 OR p_partkey % 2 = 0 OR p_partkey % 11 = 0 THEN 'throttle' ELSE 'run' END AS action FROM part""")
+def compaction_schedule(read):
+    k = F.col("p_partkey")
+    pick = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    reason = pick(F.col("p_size") % 5, "below-threshold", "no-segments", "tombstones", "index-density", "tier-pressure")
+    return read("part").select("p_partkey", A.compaction_action(reason, pick(k % 3, "saturated", "elevated", "nominal"), F.when(k % 7 == 0, "critical").when(k % 7 == 1, "serious").otherwise("nominal"), F.when(k % 2 == 0, "low").otherwise("ok"), F.when(k % 11 == 0, "active").otherwise("idle")).alias("action"))
+
+
+@query(f"SELECT count(*) AS records, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind = 'dir') AS directories, CAST(0 AS BIGINT) AS symlinks, count(*) FILTER (hidden) AS hidden, count(*) AS tagged FROM {PARTS}")
+def storage_inspection(read):
+    spark = SparkSession.active()
+    path = fresh_path(spark, "records")
+    parts(read).write.parquet(path)
+    return A.inspect_records(spark, path).drop("bytes")
+
+
+@query(f"SELECT count(DISTINCT term) AS terms, count(DISTINCT (term, doc_id)) AS postings, count(*) AS positions, count(DISTINCT doc_id) AS records FROM {TOKENS}")
+def content_inspection(read):
+    spark = SparkSession.active()
+    path = fresh_path(spark, "postings")
+    index.content_postings(content(read)).write.parquet(path)
+    return A.inspect_content(spark, path).drop("bytes")
+
+
+@query(f"""SELECT node, CASE WHEN starts_with(path, '/Brand/13/') THEN '/Moved' || substring(path, 10) ELSE path END AS path, name, len FROM {PARTS}""")
+def rename_correlation(read):
+    rows = parts(read)
+    fresh = rows.limit(1).withColumn("path", F.lit("/Moved"))
+    return V.correlated_rename(rows, "/Brand/13", "/Moved", fresh)[0].select("node", "path", F.regexp_replace("name", r"\.md$", "").alias("name"), "len")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, lower(p_name), p_partkey) AS place FROM part")
+def trash_newest(read):
+    rows = read("part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("original_path"), F.col("p_retailprice").alias("deleted_at"))
+    places = T.trash_view(rows, "deleted", "p_partkey").select("p_partkey", F.monotonically_increasing_id().alias("at"))
+    return places.select("p_partkey", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
+
+
 @query("""SELECT c_custkey, field, state, count(*) AS n FROM (SELECT c_custkey, 'c_name' AS field, 'same' AS state FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', CASE WHEN c_custkey % 4 = 0 THEN 'missing' ELSE 'same' END FROM customer
  UNION ALL SELECT c_custkey, 'c_nationkey', CASE WHEN c_custkey % 3 = 0 THEN 'differs' ELSE 'same' END FROM customer) GROUP BY ALL""")
 def field_reconcile(read):

@@ -49,6 +49,66 @@ def rebuild_route(records_state: Column, sidecars_bad: Column, content_bad: Colu
     return F.when(records_state.isin("missing", "unreadable", "unsupported"), "blocked").when(records_state == "legacy", "migrate").when(content_bad, "recover").when(sidecars_bad, "rebuild").otherwise("ready")
 
 
+def index_recovery(observed: DataFrame) -> DataFrame:
+    """root, action, reason of each persistent index, by what was observed of its records and state.
+
+    Columns: root, records and state (current, missing, unreadable; state also unsupported), state_root, records_path,
+    state_records_path, record_count, state_record_count, suspended. A suspended admission is ready whatever its records
+    are, if its state can be read and is of this root and these records; then records are judged, then the state.
+    """
+    own = (F.col("state") == "current") & F.col("state_root").eqNullSafe(F.col("root")) & F.col("state_records_path").eqNullSafe(F.col("records_path"))
+    reason = (
+        F.when(own & F.coalesce("suspended", F.lit(False)) & (F.col("records") != "unreadable-path"), "suspended-admission").when(F.col("records") == "missing", "missing-records").when(F.col("records") != "current", "unreadable-records")
+        .when(F.col("state") == "missing", "missing-state").when(F.col("state") == "unsupported", "unsupported-state-schema").when(F.col("state") != "current", "unreadable-state")
+        .when(~F.col("state_root").eqNullSafe(F.col("root")), "root-mismatch").when(~F.col("state_records_path").eqNullSafe(F.col("records_path")), "records-path-mismatch")
+        .when(~F.col("state_record_count").eqNullSafe(F.col("record_count")), "record-count-mismatch").otherwise("healthy")
+    )
+    action = (
+        F.when(F.col("reason").isin("healthy", "suspended-admission"), "ready").when(F.col("reason") == "missing-records", "rebuild-records-and-state").when(F.col("reason") == "unreadable-records", "quarantine-records-and-rebuild")
+        .when(F.col("reason") == "unsupported-state-schema", "migrate-state").otherwise("rebuild-state")
+    )
+    return observed.withColumn("reason", reason).select("root", action.alias("action"), "reason")
+
+
+def compaction_action(reason: Column, io: Column, thermal: Column, battery: Column, activity: Column) -> Column:
+    """defer, throttle or run for a compaction with this reason (of merge_plan, or index-density) under this pressure."""
+    return (
+        F.when(reason.isin("below-threshold", "no-segments") | (io == "saturated") | (thermal == "critical"), "defer")
+        .when((io == "elevated") | (thermal == "serious") | (battery == "low") | (activity == "active"), "throttle").otherwise("run")
+    )
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files under a path of any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def inspect_records(spark: SparkSession, path: str) -> DataFrame:
+    """One row on a stored table of records: bytes, records, files, directories, symlinks, hidden, tagged."""
+    count = lambda test, name: F.count_if(F.coalesce(test, F.lit(False))).alias(name)
+    rows = spark.read.parquet(path)
+    kinds = (("files", "file"), ("directories", "dir"), ("symlinks", "link"))
+    return rows.agg(F.lit(stored_bytes(spark, path)).cast("long").alias("bytes"), F.count(F.lit(1)).alias("records"), *(count(F.col("kind") == k, name) for name, k in kinds), count(F.col("hidden"), "hidden"), count(F.size("tags") > 0, "tagged"))
+
+
+def inspect_content(spark: SparkSession, path: str) -> DataFrame:
+    """One row on stored content postings: bytes, terms, postings, positions, records."""
+    rows = spark.read.parquet(path)
+    terms = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("positions")).alias("p")).agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"), F.coalesce(F.sum("p"), F.lit(0)).alias("positions"))
+    ids = rows.select(*ID).distinct().agg(F.count(F.lit(1)).alias("records"))
+    return terms.join(F.broadcast(ids), F.lit(True)).withColumn("bytes", F.lit(stored_bytes(spark, path)).cast("long"))  # a row each
+
+
+def index_bytes(spark: SparkSession, path: str, target: int = 512) -> DataFrame:
+    """table_name, bytes, bytes_per_record (integer division) of a stored index's tables and, named total, of all; dense: above the target."""
+    names = [x.getPath().getName() for x in spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(path)) if x.isDirectory()]
+    sizes = {n: stored_bytes(spark, f"{path}/{n}") for n in sorted(names)}
+    rows = spark.createDataFrame([*sizes.items(), ("total", sum(sizes.values()))], "table_name string, bytes long")
+    records = spark.read.parquet(f"{path}/columns").count()
+    return density(rows, records, "bytes").withColumn("dense", F.col("bytes_per_record") > target)
+
+
 def manifest_recovery(manifest: DataFrame, segments: DataFrame) -> DataFrame:
     """path, action, reason: manifest entries that segments (path, state, postings) bear out are kept, others dropped; strays are listed."""
     s = segments.select(F.col("path").alias("_path"), F.col("state"), F.col("postings").alias("_postings"))
@@ -147,9 +207,9 @@ def resource_summary(samples: DataFrame, group: str, value: str) -> DataFrame:
     return samples.groupBy(group).agg(F.count(F.lit(1)).alias("samples"), F.sum(value).alias("total"), F.max(value).alias("peak"), F.floor(F.sum(value) / F.count(F.lit(1))).cast("long").alias("average"))
 
 
-def density(footprint: DataFrame, records: int) -> DataFrame:
-    """table_name, bytes_per_record (integer division) of tables with a column bytes."""
-    return footprint.select("table_name", F.expr(f"bytes div {max(1, records)}L").alias("bytes_per_record"))
+def density(footprint: DataFrame, records: int, *keep: str) -> DataFrame:
+    """table_name, the kept columns, bytes_per_record (integer division) of tables with a column bytes."""
+    return footprint.select("table_name", *keep, F.expr(f"bytes div {max(1, records)}L").alias("bytes_per_record"))
 
 
 def cancelled(jobs: DataFrame, **match) -> DataFrame:

@@ -222,6 +222,19 @@ def view(records: DataFrame, sort: str = "name", show_hidden: bool = False, star
     return out if rows is None else out.limit(rows)
 
 
+TRASH = {"deleted": [(F.desc_nulls_last, "deleted_at"), (F.asc, "_lower")], "name": [(F.asc, "_lower")], "location": [(F.asc_nulls_first, "original_path"), (F.asc, "_lower")]}
+
+
+def trash_view(rows: DataFrame, sort: str = "deleted", ties: str = "path") -> DataFrame:
+    """Trash rows (name, original_path, deleted_at) by time of deletion, newest first, by name or by original location."""
+    return rows.withColumn("_lower", F.lower("name")).orderBy(*(f(c) for f, c in TRASH[sort]), ties).drop("_lower")
+
+
+def job_order(jobs: DataFrame) -> DataFrame:
+    """Jobs (priority, id) in the order they run: the highest priority first, then the least id."""
+    return jobs.orderBy(F.desc("priority"), "id")
+
+
 def grouped_window(hits: DataFrame, key: str) -> DataFrame:
     """group_key, n, first_index of a visible window (column index)."""
     return hits.groupBy(F.col(key).alias("group_key")).agg(F.count(F.lit(1)).alias("n"), F.min("index").alias("first_index"))

@@ -67,7 +67,12 @@ class _Reader(DataSourceReader):
                 up = os.lstat(parent).st_ino
             except OSError:
                 up = None
-            yield (s.st_dev, s.st_ino, up, path, name, kind, s.st_size, s.st_mode & 0o7777, s.st_uid, s.st_gid, zlib.crc32(b""), when(s.st_ctime), when(s.st_mtime), when(s.st_ctime), name.startswith("."), [], None, issue)
+            tags = _text_attribute(path, "user.xdg.tags")
+            born = getattr(s, "st_birthtime", None)
+            yield (
+                s.st_dev, s.st_ino, up, path, name, kind, s.st_size, s.st_mode & 0o7777, s.st_uid, s.st_gid, _digest(path), None if born is None else when(born), when(s.st_mtime), when(s.st_ctime), name.startswith("."),
+                [t.strip() for t in (tags or "").split(",") if t.strip()], _text_attribute(path, "user.xdg.comment"), issue,
+            )
 
 
 class TreeSource(DataSource):
@@ -99,6 +104,27 @@ def package_kind(path: Column, kind: Column) -> Column:
     return F.when(kind == "dir", F.try_element_at(known, F.lower(X.extension(path))))
 
 
+def summary(records: DataFrame, *by: Column) -> DataFrame:
+    """n records and their bytes by lane, kind of package or any other columns."""
+    return records.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bytes"))
+
+
+def _digest(path: str) -> int:
+    """Of a file's extended attributes, by name: 0x0 between names and values, so that none run together."""
+    try:
+        names = sorted(os.listxattr(path, follow_symlinks=False))
+        return zlib.crc32(b"".join(os.fsencode(n) + b"\0" + os.getxattr(path, n, follow_symlinks=False) + b"\0" for n in names))
+    except OSError:
+        return zlib.crc32(b"")
+
+
+def _text_attribute(path: str, name: str) -> str | None:
+    try:
+        return os.getxattr(path, name, follow_symlinks=False).decode("utf-8", "replace") or None
+    except OSError:
+        return None
+
+
 def outside_generated(records: DataFrame, path: str = "path") -> DataFrame:
     """Records without a generated folder among their ancestors; the folder itself stays."""
     parts = X.components(F.col(path))

@@ -98,6 +98,32 @@ def renamed_subtree(records: DataFrame, old: str, new: str) -> DataFrame:
     return records.withColumn("path", path).withColumn("name", X.basename(F.col("path")))
 
 
+def correlated_rename(records: DataFrame, old: str, new: str, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """records after a rename whose two halves are paired, and one row on it: removed, inserted, preserved.
+
+    The subtree at old moves to new and keeps its ids; its root takes the fresh record of new (at most one row of the
+    records' columns) but keeps its id and parent. Without a record at or below old the fresh one is inserted; without a
+    fresh one (new is gone again) the subtree is removed.
+    """
+    inside = (F.col("path") == old) | F.startswith("path", F.lit(old.rstrip("/") + "/"))
+    inside = F.coalesce(inside, F.lit(False))
+    keep, moved = records.filter(~inside), renamed_subtree(records.filter(inside), old, new)
+    removed, has_fresh = moved.count(), bool(fresh.take(1))
+    fresh = fresh.select(*records.columns)
+    if not removed:
+        after, inserted = keep.unionByName(fresh), int(has_fresh)
+    elif not has_fresh:
+        after, inserted = keep, 0
+    else:
+        root = moved.filter(F.col("path") == new)
+        ids = [c for c in ("volume", "node", "parent_node") if c in records.columns]
+        at = root.select(*(F.col(c).alias(f"_{c}") for c in ids)).limit(1)
+        renewed = fresh.drop(*ids).join(F.broadcast(at), F.lit(True)).withColumnsRenamed({f"_{c}": c for c in ids}).select(*records.columns)  # a row each
+        after, inserted = keep.unionByName(moved.filter(F.col("path") != new)).unionByName(renewed), removed
+    report = records.sparkSession.createDataFrame([(old, new, removed, inserted, inserted if removed else 0)], "`from` string, `to` string, removed long, inserted long, preserved long")
+    return after, report
+
+
 def applied(records: DataFrame, events: DataFrame) -> DataFrame:
     """records after a batch of events (seq, kind, path, and the record's fields for upserts), last event by path wins."""
     last = events.withColumn("_rn", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("seq")))).filter("_rn = 1").drop("_rn")
