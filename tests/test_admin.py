@@ -38,14 +38,15 @@ def test_sessions_run_queries(spark):
 
 
 def test_plan_shape(spark):
-    """A term search is one scan of each side, a join on ids and a top-k; only the query's terms are read from the postings."""
+    """A term search reads candidates from name and content postings by key, then only their records and positions, then a top-k."""
     from quarry import catalog
 
     read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
     df = catalog.found(read, "that with -this")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert plan.count("FileScan parquet") == 2
+    assert plan.count("FileScan parquet") == 4 and plan.count("PushedFilters: [In(term, ") + plan.count("In(term, [that,this,with])") >= 2
+    assert "LeftSemi, BuildRight" in plan and "Or(" in plan.split("DataFilters", 1)[1]
     assert search.ranked(catalog.doc_columns(read), "", None).count() == 0
 
 
