@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.operators.index import ID, content_postings
+from quarry.operators.ordering import numbered
 from quarry.operators.tables import delta
 
 #: Records of one batch of an incremental build.
@@ -136,8 +137,7 @@ def incremental_segment(previous: DataFrame, current: DataFrame, content: DataFr
     """Postings (with seq and batch) of new and changed records, and tombstones of changed and deleted ones."""
     changes = delta(previous, current, ID)
     todo = changes.filter(F.col("change").isin("new", "changed")).select(*ID)
-    batch = F.floor((F.row_number().over(Window.partitionBy("volume").orderBy("node")) - 1) / BATCH).cast("long")
-    todo = todo.withColumn("batch", batch)
+    todo = numbered(todo, ["volume"], ["node"]).select(*ID, F.floor(F.col("nth") / BATCH).cast("long").alias("batch"))
     postings = content_postings(content.join(todo.select(*ID), ID, "left_semi")).join(todo, ID).withColumn("seq", F.lit(seq).cast("long"))
     return postings, changes.filter("tombstone").select(*ID, F.lit(seq).cast("long").alias("seq"))
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as X
 
-from .storage import stored
+from .ordering import numbered
 
 ID = ["volume", "node"]
 BLOCK = 128
@@ -127,11 +127,7 @@ def dictionary(columns: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     terms = out.filter("term is not null and term <> ''").groupBy("term").agg(F.array_sort(F.collect_set("class")).alias("classes"))
-    # Ordinals by counts of sampled ranges of terms: no task orders the whole dictionary, whatever terms begin with.
-    ranged = stored(terms.repartitionByRange("term").withColumn("part", F.spark_partition_id()), "dictionary")
-    base = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("part").orderBy("term"))
-    return ranged.withColumn("rn", within).join(base, "part").select((F.col("base") + F.col("rn") - 1).alias("ordinal"), "term", "classes")
+    return numbered(terms, [], ["term"], "ordinal").select("ordinal", "term", "classes")
 
 
 NAME_KINDS = ("exact", "term", "prefix", "gram", "path", "extension", "kind", "tag", "comment")

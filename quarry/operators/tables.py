@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordering import numbered
+
 ID = ["volume", "node"]
 
 # ---- Incremental content index
@@ -111,8 +113,7 @@ def fair_order(jobs: DataFrame) -> DataFrame:
     """jobs (class, arrival) with turn: rounds over the classes, each taking its quota in order of arrival."""
     rank = F.coalesce(*(F.when(F.col("class") == c, k) for k, c in enumerate(CLASSES)), F.lit(len(CLASSES)))
     quota = F.coalesce(*(F.when(F.col("class") == c, q) for c, q in zip(CLASSES, QUOTAS, strict=True)), F.lit(1))
-    nth = F.row_number().over(Window.partitionBy("class").orderBy("arrival")) - 1
-    return jobs.withColumns({"round": F.floor(nth / quota).cast("long"), "class_rank": rank, "nth": nth.cast("long")})
+    return numbered(jobs, ["class"], ["arrival"]).withColumns({"round": F.floor(F.col("nth") / quota).cast("long"), "class_rank": rank})
 
 
 def blocked(jobs: DataFrame, completed: DataFrame, failed: DataFrame) -> DataFrame:
@@ -276,5 +277,8 @@ def admitted(items: DataFrame, top: int, bottom: int, margin: int, visible: int
     newest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("generation")))
     rows = items.withColumn("_n", newest).filter("_n = 1").drop("_n")
     lane = F.when((F.col("y") + F.col("height") > top) & (F.col("y") < bottom), "visible").when((F.col("y") + F.col("height") > top - margin) & (F.col("y") < bottom + margin), "prefetch").otherwise("background")
-    rows = rows.withColumn("lane", lane).withColumn("rn", F.row_number().over(Window.partitionBy("lane").orderBy("y", "x", "generation")))
-    return rows.filter(F.col("rn") <= F.when(F.col("lane") == "visible", visible).when(F.col("lane") == "prefetch", prefetch).otherwise(1 << 30))
+    rows = rows.withColumn("lane", lane)
+    by = Window.partitionBy("lane").orderBy("y", "x", "generation")
+    first = lambda name, most: rows.filter(F.col("lane") == name).withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= most)  # noqa: E731  each task sends its first ones only
+    rest = rows.filter("lane = 'background'").withColumn("rn", F.lit(None).cast("int"))
+    return first("visible", visible).unionByName(first("prefetch", prefetch)).unionByName(rest)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarry.functions import text as X
+from quarry.operators.ordering import numbered
 
 # Folders that builds make, and what folders are packages.
 GENERATED = (".git", ".hg", ".svn", ".fozzy", ".next", ".turbo", ".cache", "target", "node_modules", "dist", "build", ".venv", "__pycache__")
@@ -133,11 +134,8 @@ def outside_generated(records: DataFrame, path: str = "path") -> DataFrame:
 
 def lanes(records: DataFrame, visible: list[str], burst: int = 8) -> DataFrame:
     """Order of a fair crawl: so many of the visible folders' records, then one of the rest."""
-    from pyspark.sql.window import Window
-
     seen = F.lit(False)
     for v in visible:
         seen = seen | (F.col("path") == v) | F.startswith("path", F.lit(v.rstrip("/") + "/"))
     rows = records.withColumn("lane", F.when(seen, "visible").otherwise("background"))
-    nth = F.row_number().over(Window.partitionBy("lane").orderBy("path")) - 1
-    return rows.withColumn("turn", F.floor(nth / F.when(F.col("lane") == "visible", burst).otherwise(1)).cast("long")).withColumn("nth", nth.cast("long"))
+    return numbered(rows, ["lane"], ["path"]).withColumn("turn", F.floor(F.col("nth") / F.when(F.col("lane") == "visible", burst).otherwise(1)).cast("long"))
