@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_batches, materialise, small
+from .common import discard, lean_batches, materialise, small
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold agrees on no band once in 3000 cases, one at 0.85 once in 60,000.
@@ -205,7 +205,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(down, "a")
         star = star.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).filter("a <> b")
-        edges = materialise(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        last, edges = edges, materialise(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        discard(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -270,7 +271,9 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
             yield pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
 
     many = _in_blocks(rows.filter(f"n > {_PAIRED}"), "node", F.col("n") / _BLOCK).repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-    return pairs.unionByName(many.select("bucket", "one", "two", "side", "node", "sketch").mapInPandas(spanned, "a long, b long")).distinct()
+    found = materialise(pairs.unionByName(many.select("bucket", "one", "two", "side", "node", "sketch").mapInPandas(spanned, "a long, b long")).distinct(), "candidates")
+    discard(rows)
+    return found
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
