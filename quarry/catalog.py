@@ -402,7 +402,9 @@ def segment_tiers(read):
     return s.select("seg", T.tier(F.col("bytes")).alias("tier"))
 
 
-@query()
+@query("""WITH s AS (SELECT l_linenumber, count(*) * 10 AS bytes FROM lineitem GROUP BY ALL), t AS (SELECT *, CASE WHEN bytes <= 1048576 THEN 'hot' WHEN bytes <= 16777216 THEN 'warm' ELSE 'cold' END AS tier FROM s),
+ w AS (SELECT tier FROM t GROUP BY tier HAVING count(*) >= 4 ORDER BY CASE tier WHEN 'hot' THEN 0 WHEN 'warm' THEN 1 ELSE 2 END LIMIT 1), c AS (SELECT *, sum(bytes) OVER (ORDER BY bytes, l_linenumber) AS upto FROM t WHERE tier = (SELECT tier FROM w))
+SELECT printf('seg-%02d', l_linenumber) AS path, tier, 'tier-pressure' AS reason, 'run' AS action FROM c WHERE upto <= 67108864""")
 def merge_plan(read):
     s = read("lineitem").groupBy("l_linenumber").agg((F.count(F.lit(1)) * 10).alias("bytes")).select(F.format_string("seg-%02d", "l_linenumber").alias("path"), "bytes", F.lit(0).alias("tombstones"))
     plan = T.merge_plan(s)
