@@ -74,7 +74,7 @@ _INDEXES: dict[tuple, index.Index] = {}
 def opened(read, name: str, columns, contents=None) -> index.Index:
     """The stored index over columns and contents of these tables; built at its first use in a session."""
     spark = SparkSession.active()
-    key = (spark.sparkContext.applicationId, read(name).inputFiles()[0], name)
+    key = (spark.sparkContext.applicationId, name, *sorted(read(name).inputFiles()))
     if key not in _INDEXES:
         path = fresh_path(spark, f"index-{name}")
         index.write_index(path, columns(read), contents and contents(read))
