@@ -32,7 +32,7 @@ PLACES = BANDS * ROWS
 #: Differing sketch bits, at most, of a pair that is compared: 4.5 standard deviations beyond the threshold's mean.
 SKETCH_DIFFERS = int(PLACES * (1 - THRESHOLD) / 2 + 4.5 * (PLACES * 0.09) ** 0.5)
 #: Shingles that are signed together: enough for numpy, little memory.
-_TOGETHER = 1 << 16
+_TOGETHER = 1 << 18
 #: Documents of a bucket that are paired by a join; rows of a block of a bucket, and of a cluster; characters of a cluster's block.
 _PAIRED, _BLOCK, _CLUSTER, _CLUSTER_BYTES = 16, 2048, 768, 8 << 20
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
