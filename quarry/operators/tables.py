@@ -44,29 +44,30 @@ def tier(size: Column) -> Column:
     return F.when(size <= HOT_BYTES, "hot").when(size <= WARM_BYTES, "warm").otherwise("cold")
 
 
-def merge_plan(manifest: DataFrame, pressure: str = "none") -> dict:
+def merge_plan(manifest: DataFrame, pressure: str = "none", least: int = MIN_MERGE) -> dict:
     """What to merge of a segment manifest (path, bytes, tombstones), and whether: the manifest is small and planned on the driver.
 
-    Segments with tombstones go first; the rest come from one tier, smallest first, while the bytes fit.
+    Segments with tombstones go first; the rest come from one tier of MIN_MERGE or more, smallest first, while the bytes
+    fit. Without tombstones nothing is merged if fewer than least fit.
     """
     order = F.when(F.col("tier") == "hot", 0).when(F.col("tier") == "warm", 1).otherwise(2)
     rows = manifest.withColumn("tier", tier(F.col("bytes"))).orderBy((F.col("tombstones") == 0), order, "bytes", "path").collect()
     marked = [r for r in rows if r.tombstones]
     counts = {t: sum(r.tier == t and not r.tombstones for r in rows) for t in ("hot", "warm", "cold")}
-    wanted = marked[0].tier if marked else next((t for t, n in counts.items() if n >= MIN_MERGE), "hot")
+    wanted = marked[0].tier if marked else next((t for t, n in counts.items() if n >= MIN_MERGE), None)
     chosen, size = [], 0
     for r in rows:
         if not r.tombstones and r.tier != wanted or len(chosen) == MAX_MERGE:
             continue
-        if chosen and not r.tombstones and size + r.bytes > MERGE_BYTES:
+        if not r.tombstones and size + r.bytes > MERGE_BYTES:
             continue
         chosen.append(r.path)
         size += r.bytes
-    if not marked and len(chosen) < MIN_MERGE:
+    if not marked and len(chosen) < least:
         chosen, size = [], 0
     reason = "no-segments" if not rows else "tombstones" if marked else "tier-pressure" if chosen else "below-threshold"
     action = "defer" if not chosen or pressure == "saturated" else "throttle" if pressure == "elevated" else "run"
-    return {"segments": sorted(chosen), "retained": sorted(r.path for r in rows if r.path not in chosen), "bytes": size, "tier": wanted, "reason": reason, "action": action, "max_bytes": {"run": MERGE_BYTES, "throttle": MERGE_BYTES // 2, "defer": 0}[action]}
+    return {"segments": sorted(chosen), "retained": sorted(r.path for r in rows if r.path not in chosen), "bytes": size, "tier": wanted or "hot", "reason": reason, "action": action, "max_bytes": {"run": MERGE_BYTES, "throttle": MERGE_BYTES // 2, "defer": 0}[action]}
 
 
 # ---- Jobs and operations

@@ -1,5 +1,8 @@
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from quarry import catalog
 from quarry.operators import tables as T
 from quarry.sources import extract as E
 from quarry.streaming import events as V
@@ -60,6 +63,19 @@ def test_merge_plans(spark):
     assert got["segments"] == ["big"] and got["action"] == "throttle" and got["tier"] == "cold"
 
 
+@pytest.mark.parametrize("segments, rows", [(4, 2_000_000), (4, 7_000_000), (3, 100)])
+def test_merge_plan_query_against_its_sql_beyond_a_merge(spark, tmp_path, segments, rows):
+    """Fewer than four of a tier fit into one merge, or no tier has four: the query has its SQL's rows, the plan defers."""
+    spark.range(segments * rows).selectExpr(f"cast(id % {segments} + 1 as int) l_linenumber").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalog.QUERIES["merge_plan"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = duck.execute(catalog.ORACLE["merge_plan"])
+    assert [d[0] for d in want.description] == got.columns and sorted(want.fetchall()) == sorted(map(tuple, got.collect()))
+    plan = T.merge_plan(spark.createDataFrame([(f"s{k}", rows * 10, 0) for k in range(segments)], "path string, bytes long, tombstones long"))
+    assert (plan["segments"], plan["bytes"], plan["reason"], plan["action"]) == ([], 0, "below-threshold", "defer")
+
+
 def test_removals_take_subtrees(spark):
     r = spark.createDataFrame([("/a", 1), ("/a/b", 2), ("/ab", 3), ("/c", 4)], "path string, node long")
     e = spark.createDataFrame([(1, "remove", "/a", 0), (2, "modify", "/c", 9), (3, "create", "/n", 5)], "seq long, kind string, path string, node long")
