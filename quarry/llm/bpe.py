@@ -164,6 +164,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drops the worker's encoders and their caches; the next call of encoder reads the file again."""
+    _encoders.clear()
+
+
 def default_path() -> str:
     import public_tokenizers
 

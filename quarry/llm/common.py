@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,6 +70,20 @@ def lean_batches(spark: SparkSession, megabytes: int = 16) -> None:
         spark.conf.set(key, str(megabytes << 20))
 
 
+def lean_worker(keep_encoders: bool = False) -> None:
+    """Gives back what a reused Python worker still holds of stages before: encoders with their caches, and freed memory.
+
+    An idle worker is handed to the next stage as it is, and the C library keeps freed memory of past batches.
+    """
+    bpe = sys.modules.get("quarry.llm.bpe")
+    if bpe and not keep_encoders:
+        bpe.forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def hashed_share(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
     """About most of df's counted rows (all, if fewer), by a hash of the key: every task sends its share, not its own most."""
     if rows <= most:

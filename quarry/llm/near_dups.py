@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lean_batches, materialise, small
+from .common import discard, lean_batches, lean_worker, materialise, small
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold agrees on no band once in 3000 cases, one at 0.85 once in 60,000.
@@ -236,6 +236,7 @@ def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
+            lean_worker()
             ids, texts, runs, held = [], [], [], 0
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = t.as_py() or ""
@@ -264,6 +265,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     pairs = a.join(b, "bucket").filter((F.col("a") < F.col("b")) & (differs <= SKETCH_DIFFERS)).select("a", "b")
 
     def spanned(batches):
+        lean_worker()
         for g in by_key(batches, ["bucket", "one", "two"]):
             across = g["one"].iloc[0] != g["two"].iloc[0]
             links = _links(g, g["side"].to_numpy() if across else None, lambda i, j: True)
@@ -291,6 +293,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     some = clusters.count()
 
     def verified(batches):
+        lean_worker()
         for g in by_key(batches, ["root", "one", "two"]):
             across = g["one"].iloc[0] != g["two"].iloc[0]
             texts, ids, bags = g["text"].to_numpy(), g["node"].to_numpy(), {}

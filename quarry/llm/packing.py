@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_path, encoder
-from .common import hash_bucket, lean_batches, materialise, running, small, spread
+from .common import hash_bucket, lean_batches, lean_worker, materialise, running, small, spread
 
 SEQUENCE = 2048
 
@@ -65,6 +65,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenize
     lean_batches(docs.sparkSession)
 
     def rows(batches):
+        lean_worker(keep_encoders=True)
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.kind).tobytes()
         for batch in batches:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_share, lean_batches, materialise, small
+from .common import hashed_share, lean_batches, lean_worker, materialise, small
 
 #: Labelled documents, about so many by a hash of the id, that the classifier is fitted on.
 SAMPLE = 20_000
@@ -123,6 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
 
     @F.pandas_udf("array<double>")
     def seen(texts: pd.Series) -> pd.Series:
+        lean_worker()
         return texts.map(features)
 
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), *_site(host, path), seen(F.col(text)).alias("x")), "features")
@@ -155,6 +156,7 @@ def score(docs: DataFrame, model: Model, sites: DataFrame, host: Column, path: C
 
     @F.pandas_udf("double")
     def evidence(texts: pd.Series) -> pd.Series:
+        lean_worker()
         return texts.map(lambda t: model.evidence(features(t)))
 
     rows = docs.withColumns({"host": _site(host, path)[0], "path": _site(host, path)[1], "_evidence": evidence(F.col(text))})

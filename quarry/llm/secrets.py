@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_batches
+from .common import lean_batches, lean_worker
 
 # The base patterns and their least lengths.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -257,6 +257,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
     @F.pandas_udf("array<struct<kind:string,start:bigint,end:bigint>>")
     def found(texts: pd.Series) -> pd.Series:
+        lean_worker()
         return texts.map(lambda t: [{"kind": k, "start": a, "end": b} for a, b, k in secret_spans(t)])
 
     return docs.select(F.col(id_col).alias("doc_id"), found(F.coalesce(F.col(text), F.lit(""))).alias("found"))
@@ -268,6 +269,7 @@ def redacted(docs: DataFrame, text: str = "text", chars: str | None = "n_chars")
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
+        lean_worker()
         return texts.map(lambda t: t if t is None else redact(t))
 
     out = docs.withColumn(text, clean(F.col(text)))
