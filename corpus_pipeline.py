@@ -25,7 +25,7 @@ def mix_stage(spark, docs, sf_dir):
 
 def pack_stage(spark, docs, sf_dir):
     """The pieces of all documents with their sequences and places."""
-    return packing.pack(docs)
+    return packing.pack(docs, lean=True)
 
 
 STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("secrets", secrets_stage), ("mix", mix_stage), ("pack", pack_stage)]

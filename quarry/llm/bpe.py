@@ -46,6 +46,7 @@ class Encoder:
         self.cache: dict[str, bytes | None] = {}
         self.marks: dict[str, bytes] = {}
         self.held = 0
+        self.most = CACHE_BYTES
 
     def _may_cut(self) -> bool:
         """True if the file's rules are those that the cuts are proved for: byte-level pieces and nothing before or after."""
@@ -99,6 +100,11 @@ class Encoder:
         self.cache.update(zip(units, self._whole([" " + u for u in units]), strict=True))
         self.held += sum(_ENTRY + 4 * len(u) for u in units)
 
+    def drop(self) -> None:
+        """Empties the cache."""
+        self.cache.clear()
+        self.held = 0
+
     def _stretches(self, text: str):
         """The text's pieces that may be encoded apart; all but the first begin with the space they are cut at."""
         at = 0
@@ -112,9 +118,8 @@ class Encoder:
 
     def _together(self, texts: list[str]) -> list[bytes]:
         """Ids of stretches: a head and the units behind it."""
-        if self.held > CACHE_BYTES:
-            self.cache.clear()
-            self.held = 0
+        if self.held > self.most:
+            self.drop()
         heads, rests = [], []
         for t in texts:
             head, space, rest = t.partition(" ")
@@ -157,10 +162,11 @@ class Encoder:
         return self.batch([text])[0]
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for this file."""
+def encoder(path: str, most: int | None = None) -> Encoder:
+    """The worker's encoder for this file, its cache of at most so many bytes (CACHE_BYTES)."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].most = most or CACHE_BYTES
     return _encoders[path]
 
 

@@ -25,6 +25,8 @@ from .bpe import default_path, encoder
 from .common import hash_bucket, lean_batches, lean_worker, materialise, running, small, spread
 
 SEQUENCE = 2048
+#: Of a lean packing: bytes of a worker's cache, MB of its batches.
+LEAN_CACHE, LEAN_BATCH = 40 << 20, 4
 
 
 def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
@@ -59,14 +61,17 @@ def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, int, i
     return [x for x in out if x[2]]
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 0, size: int = SEQUENCE, ids: bool = False) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32; with ids, also the piece's ids."""
+def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 0, size: int = SEQUENCE, ids: bool = False, lean: bool = False) -> DataFrame:
+    """One row a piece: doc_id, piece, start, length, ids_crc32; with ids, also the piece's ids.
+
+    lean: workers hold less beside an executor whose heap has grown, and empty their caches at a task's end; the rows are the same.
+    """
     tokenizer = tokenizer or default_path()
-    lean_batches(docs.sparkSession)
+    lean_batches(docs.sparkSession, *([LEAN_BATCH] if lean else []))
 
     def rows(batches):
         lean_worker(keep_encoders=True)
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, LEAN_CACHE if lean else None)
         end = np.array([end_id], enc.kind).tobytes()
         for batch in batches:
             out = []
@@ -78,6 +83,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenize
                     out.append((i, k, a, b - a, zlib.crc32(part.tobytes()), *([part] if ids else [])))
             columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+            if lean:
+                del batch, out, columns
+                lean_worker(keep_encoders=True)
+        if lean:
+            enc.drop()
+            lean_worker(keep_encoders=True)
 
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.list_(pa.int64())} if ids else {})
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -101,9 +112,9 @@ def place(parts: DataFrame, size: int = SEQUENCE) -> DataFrame:
     return ranked.join(slots, ["length", "rank"]).drop("_h", "_bucket", "rank")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 0, size: int = SEQUENCE) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 0, size: int = SEQUENCE, lean: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    parts = materialise(pieces(docs, id_col, text, tokenizer, end_id, size), "pieces")
+    parts = materialise(pieces(docs, id_col, text, tokenizer, end_id, size, lean=lean), "pieces")
     return place(parts, size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -1,7 +1,11 @@
 import gc
 import weakref
 
-from quarry.llm import bpe
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
+from quarry.llm import bpe, packing
 from quarry.llm.common import lean_worker
 
 
@@ -15,3 +19,35 @@ def test_encoders_and_their_caches_are_given_back():
     lean_worker()
     gc.collect()
     assert held() is None and bpe.encoder(bpe.default_path()).batch(["some words of a text"]) == ids
+
+
+def test_pipeline_workers_hold_no_cache_between_tasks(spark, monkeypatch):
+    """Workers take turns at tasks: what an idle one keeps adds to the memory of those at work."""
+
+    class Caught(Exception):
+        pass
+
+    def caught(self, rows, schema):
+        raise Caught(rows)
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", caught)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k, k + 1], "text": [f"some words {k}, of a text", "word " * 3000]}) for k in (0, 2)]
+    out = []
+    for planned in (lambda: corpus_pipeline.pack_stage(spark, docs, None), lambda: packing.pieces(docs)):
+        with pytest.raises(Caught) as found:
+            planned()
+        bpe.forget()
+        out.append([r for b in found.value.args[0](iter(batches)) for r in b.to_pylist()])
+        enc = bpe.encoder(bpe.default_path())
+        assert (not enc.cache and not enc.held) == (len(out) == 1)
+    assert out[0] == out[1] and len(out[0]) > 4
+
+
+def test_a_cache_may_be_given_less():
+    bpe.forget()
+    enc = bpe.encoder(bpe.default_path(), 1000)
+    texts = [" ".join(f"w{k}" for k in range(a, a + 50)) for a in range(0, 500, 50)]
+    few = [enc.batch([t]) for t in texts]
+    assert len(enc.cache) < 100
+    assert few == [bpe.encoder(bpe.default_path()).batch([t]) for t in texts] and len(enc.cache) > 100
