@@ -16,11 +16,20 @@ from quarry.operators.storage import fresh_path
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side of at most this many fixed-width rows (16 to 40 bytes each) may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows of a few numbers that a task writes, where a bound of a table's rows is known.
+ROWS_A_FILE = 1 << 14
 
 
-def materialise(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+def materialise(df: DataFrame, name: str, options: dict | None = None, most: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    most: a bound of its rows, if they are a few numbers each; it is then written in files of about ROWS_A_FILE rows, however
+    many partitions it has. On local disks Hadoop starts a process (chmod) three times for a file, and until such a process
+    runs its own program it counts as a second executor.
+    """
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(1 + most // ROWS_A_FILE)
     path = fresh_path(spark, name)
     df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

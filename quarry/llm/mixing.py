@@ -118,7 +118,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.greatest("size", F.lit(1)))).otherwise(F.lit(1)).cast("int")
     taken = mix(docs, id_col, text, source, **options).groupBy("doc_id", "size").agg(F.max(times).alias("_times"))
-    taken = materialise(taken.filter("_times > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_times"), "times")
+    taken = materialise(taken.filter("_times > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_times"), "times", most=docs.count())
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.withColumn("_words", size).join(small(taken, taken.count()), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
     return rows.withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)

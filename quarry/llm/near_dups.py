@@ -195,7 +195,8 @@ def _in_blocks(rows: DataFrame, node: str, blocks) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (least node) of each connected component of edges (a, b), by alternating large and small stars."""
-    edges = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    n = edges.count()  # the stars of n edges are n at most
+    edges = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", most=n)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -205,7 +206,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(down, "a")
         star = star.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).filter("a <> b")
-        last, edges = edges, materialise(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        last, edges = edges, materialise(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", most=n)
         discard(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -235,6 +236,7 @@ def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         )
 
     def rows(batches):
+        ids = texts = runs = batch = None
         for batch in batches:
             lean_worker()
             ids, texts, runs, held = [], [], [], 0
@@ -249,6 +251,8 @@ def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                     ids, texts, runs, held = [], [], [], 0
             if ids:
                 yield signed_together(ids, texts, runs)
+        ids = texts = runs = batch = None  # workers take turns: what an idle one holds adds to those at work
+        lean_worker()
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return materialise(rows_in.filter("doc_id is not null").mapInArrow(rows, "doc_id long, words_a long, words_b long, bytes long, bands array<long>, sketch array<long>"), "signatures")
@@ -282,14 +286,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     """One row a row of docs with an id: doc_id, class_id (least id of its class), n_links (verified links kept for its node)."""
     sigs = signatures(docs, id_col, text)
     # Copies meet by a partial aggregate; only groups of two or more come back to their documents.
-    heads = materialise(sigs.filter("bands is not null").groupBy("words_a", "words_b").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"), "heads")
+    heads = materialise(sigs.filter("bands is not null").groupBy("words_a", "words_b").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"), "heads", most=sigs.count())
     headed = sigs.join(small(heads, heads.count()), ["words_a", "words_b"], "left").withColumn("node", F.coalesce("head", "doc_id"))
     same = headed.select("doc_id", "node")
     nodes = headed.filter("bands is not null and doc_id = node").dropDuplicates(["doc_id", "words_a", "words_b"]).select("node", "bands", "sketch", "bytes")
     nodes = materialise(nodes, "nodes")
     clusters = components(candidate_edges(nodes))
     sizes = clusters.join(nodes.select("node", "bytes"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    clusters = materialise(clusters.join(sizes, "root"), "clusters")
+    clusters = materialise(clusters.join(sizes, "root"), "clusters", most=nodes.count())
     some = clusters.count()
 
     def verified(batches):
@@ -327,9 +331,10 @@ def op10_near_duplicates(spark, sf_dir):
 
 def near_dedup_stage(spark, docs, sf_dir):
     """docs with one document of each class, the one of the least id; of rows with the same id, one. Null ids stay."""
-    dropped = materialise(near_classes(docs).filter("doc_id <> class_id").select("doc_id").distinct(), "dropped")
+    rows = docs.count()
+    dropped = materialise(near_classes(docs).filter("doc_id <> class_id").select("doc_id").distinct(), "dropped", most=rows)
     kept = docs.join(small(dropped, dropped.count()), "doc_id", "left_anti").select(*docs.columns)
-    again = materialise(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "again")
+    again = materialise(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "again", most=rows)
     n = again.count()
     if not n:
         return kept

@@ -26,7 +26,7 @@ from .common import hash_bucket, lean_batches, lean_worker, materialise, running
 
 SEQUENCE = 2048
 #: Of a lean packing: bytes of a worker's cache, MB of its batches.
-LEAN_CACHE, LEAN_BATCH = 40 << 20, 4
+LEAN_CACHE, LEAN_BATCH = 24 << 20, 4
 
 
 def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
@@ -64,7 +64,7 @@ def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, int, i
 def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 0, size: int = SEQUENCE, ids: bool = False, lean: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32; with ids, also the piece's ids.
 
-    lean: workers hold less beside an executor whose heap has grown, and empty their caches at a task's end; the rows are the same.
+    lean: workers hold less beside an executor whose heap has grown, and give back encoder and cache at a task's end; the rows are the same.
     """
     tokenizer = tokenizer or default_path()
     lean_batches(docs.sparkSession, *([LEAN_BATCH] if lean else []))
@@ -87,8 +87,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenize
                 del batch, out, columns
                 lean_worker(keep_encoders=True)
         if lean:
-            enc.drop()
-            lean_worker(keep_encoders=True)
+            enc = None
+            lean_worker()
 
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.list_(pa.int64())} if ids else {})
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

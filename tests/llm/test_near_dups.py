@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 
@@ -99,3 +100,30 @@ def test_stage_keeps_one_of_each_class(spark):
     out = nd.near_dedup_stage(spark, frame(spark, rows + rows[:3]), None)
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(classes.values()))
     assert out.columns == ["doc_id", "text", "node", "sketch", "n"]
+
+
+def test_tables_of_few_rows_are_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has: each file of a local disk costs three processes that Hadoop starts."""
+    files = []
+
+    def counted(df, name, *args, plain=nd.materialise, **options):
+        out = plain(df, name, *args, **options)
+        files.append((name, sum(f.startswith("part-") for f in os.listdir(out.stored_at.removeprefix("file:")))))
+        return out
+
+    monkeypatch.setattr(nd, "materialise", counted)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = [(k, " ".join(f"t{k // 2}w{j}" for j in range(9))) for k in range(200)]
+        found = nd.near_dedup_stage(spark, frame(spark, rows), None)
+        assert sorted(r.doc_id for r in found.collect()) == list(range(0, 200, 2))
+        roots = {r.node: r.root for r in nd.components(spark.createDataFrame([(k, k + 3) for k in range(300)], "a long, b long")).collect()}
+        assert roots == {k: k % 3 for k in range(303)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    few = [n for name, n in files if name in ("heads", "edges", "clusters", "dropped", "again")]
+    assert len(few) > 8 and max(few) == 1

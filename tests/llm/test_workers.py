@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from quarry.llm import bpe, packing
+from quarry.llm import bpe, near_dups, packing
 from quarry.llm.common import lean_worker
 
 
@@ -51,3 +51,27 @@ def test_a_cache_may_be_given_less():
     few = [enc.batch([t]) for t in texts]
     assert len(enc.cache) < 100
     assert few == [bpe.encoder(bpe.default_path()).batch([t]) for t in texts] and len(enc.cache) > 100
+
+
+class Caught(Exception):
+    pass
+
+
+def test_pipeline_workers_give_back_at_a_tasks_end(spark, monkeypatch):
+    """Signing frees its memory after the last batch, and packing keeps no encoder: else a worker at rest holds them."""
+
+    def caught(self, rows, schema):
+        raise Caught(rows)
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", caught)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words of a text, and of one more"]})
+    with pytest.raises(Caught) as found:
+        near_dups.signatures(docs, "doc_id", "text")
+    freed = []
+    monkeypatch.setattr(near_dups, "lean_worker", lambda: freed.append(len(freed)))
+    assert sum(b.num_rows for b in found.value.args[0](iter([batch, batch]))) == 2 and len(freed) == 3
+    with pytest.raises(Caught) as found:
+        corpus_pipeline.pack_stage(spark, docs, None)
+    assert sum(b.num_rows for b in found.value.args[0](iter([batch, batch]))) == 2
+    assert not bpe._encoders
